@@ -91,3 +91,24 @@ def model_rows(spark: SparkSession, folder: str) -> DataFrame:
             for i, name in enumerate(feature_names(EMBEDDING_WIDTH))
         ],
     )
+
+
+NODE_FEATURES = feature_names(8)
+
+
+def graph_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Eight raw features per order: the node features of the graph track."""
+    lines = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).cast("double").alias("f002"),
+        F.sum(F.col("l_quantity").cast(MONEY)).cast("double").alias("f003"),
+        F.sum(F.col("l_extendedprice").cast(MONEY)).cast("double").alias("f004"),
+        (F.sum(F.col("l_discount").cast(MONEY)).cast("double") / F.count(F.lit(1))).alias("f005"),
+        (F.sum(F.col("l_tax").cast(MONEY)).cast("double") / F.count(F.lit(1))).alias("f006"),
+        F.count_if(F.col("l_returnflag") == "R").cast("double").alias("f007"),
+        F.count_if(F.col("l_linestatus") == "O").cast("double").alias("f008"),
+    )
+    orders = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("f001")
+    )
+    joined = orders.join(lines.withColumnRenamed("l_orderkey", "id"), "id", "left")
+    return joined.select("id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in NODE_FEATURES])
