@@ -105,19 +105,20 @@ def _one_round(ends: DataFrame, state: DataFrame, two_m: float, turn: Column) ->
     allowed = stays | ~(
         (F.col("own_members") == 1) & (F.col("members") == 1) & (F.col("target") > F.col("community"))
     )
-    choice = F.when(allowed, F.struct(gain.alias("gain"), (-F.col("target")).alias("minus")))
+    # best gain first, then the smallest community
+    choice = F.when(allowed, F.struct((-gain).alias("loss"), "target"))
     best = options.groupBy("id", "k", "community", "own_total").agg(
-        F.max(choice).alias("best"), F.max(F.when(stays, gain)).alias("stay_gain")
+        F.min(choice).alias("best"), F.max(F.when(stays, gain)).alias("stay_gain")
     )
     alone = -F.col("k") * (F.col("own_total") - F.col("k")) / F.lit(two_m)
     move = (
         turn
         & F.col("best").isNotNull()
-        & (F.col("best.gain") > F.coalesce(F.col("stay_gain"), alone) + F.lit(_EPSILON))
+        & (-F.col("best.loss") > F.coalesce(F.col("stay_gain"), alone) + F.lit(_EPSILON))
     )
     return best.select(
         "id", "k",
-        F.when(move, -F.col("best.minus")).otherwise(F.col("community")).alias("community"),
+        F.when(move, F.col("best.target")).otherwise(F.col("community")).alias("community"),
         F.coalesce(move, F.lit(False)).alias("moved"),
     )
 

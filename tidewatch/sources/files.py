@@ -74,19 +74,17 @@ def content_hash(df: DataFrame) -> DataFrame:
     )
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target))
+
+
 def open_tables(
     spark: SparkSession, folder: str, required: dict[str, str]
 ) -> dict[str, DataFrame]:
     """Open parquet tables below ``folder``. All missing ones are reported in
     one error, each with its hint, before any query runs."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
-    conf = spark._jsc.hadoopConfiguration()
-
-    def exists(name: str) -> bool:
-        path = hadoop_path(f"{folder}/{name}")
-        return bool(path.getFileSystem(conf).exists(path))
-
-    missing = {name: hint for name, hint in required.items() if not exists(name)}
+    missing = {n: hint for n, hint in required.items() if not path_exists(spark, f"{folder}/{n}")}
     if missing:
         listed = "; ".join(f"{name} ({hint})" for name, hint in sorted(missing.items()))
         raise DataQualityError(f"{folder} lacks required table(s): {listed}")
