@@ -104,17 +104,19 @@ def plain_score() -> Column:
     return F.try_divide(outgoing, outgoing + F.col("tx_in_count").cast("double"))
 
 
-def fused(spark: SparkSession, folder: str) -> DataFrame:
+def fused(spark: SparkSession, folder: str, condensed: bool = False) -> DataFrame:
+    """All alerts with their scores, or only those that can enter the queue."""
+    staged = triage.with_alert_day(alert_table(spark, folder))
     scores = alert_features(spark, folder).select(
         "acct", "day", plain_score().alias("ml_component")
     )
     return triage.fused_alerts(
-        alert_table(spark, folder), scenario_stats(spark, folder), scores, TRIAGE
+        triage.condense(staged) if condensed else staged, scenario_stats(spark, folder), scores, TRIAGE
     )
 
 
 def queue(spark: SparkSession, folder: str) -> DataFrame:
-    return stage(spark, folder, "queue", lambda: triage.ranked_queue(fused(spark, folder)))
+    return stage(spark, folder, "queue", lambda: triage.ranked_queue(fused(spark, folder, True)))
 
 
 def nodes(spark: SparkSession, folder: str) -> DataFrame:

@@ -288,15 +288,15 @@ def union_distinct(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "u3_except_distinct",
     """SELECT 'no inflow' AS side, account FROM
-         (SELECT from_account AS account FROM bank_tx WHERE amount_paid > 104000
-          EXCEPT SELECT to_account FROM bank_tx WHERE amount_paid > 104000)
+         (SELECT from_account AS account FROM bank_tx WHERE amount_paid > 104600
+          EXCEPT SELECT to_account FROM bank_tx WHERE amount_paid > 104600)
        UNION ALL SELECT 'no outflow', account FROM
-         (SELECT to_account AS account FROM bank_tx WHERE amount_paid > 104000
-          EXCEPT SELECT from_account FROM bank_tx WHERE amount_paid > 104000)""",
+         (SELECT to_account AS account FROM bank_tx WHERE amount_paid > 104600
+          EXCEPT SELECT from_account FROM bank_tx WHERE amount_paid > 104600)""",
 )
 def except_distinct(spark: SparkSession, folder: str) -> DataFrame:
     """Accounts that are on one side only of the largest payments."""
-    large = inputs.tx(spark, folder).filter("amount_paid > 104000")
+    large = inputs.tx(spark, folder).filter("amount_paid > 104600")
     senders = large.select(F.col("from_account").alias("account"))
     receivers = large.select(F.col("to_account").alias("account"))
     return (

@@ -202,7 +202,7 @@ _QUEUE_ROW = f"rank, scenario, entity, {day('alert_day')} AS alert_day, details"
 
 @query("w2_window_rank", f"SELECT {_QUEUE_ROW} FROM ranked_alert")
 def window_rank(spark: SparkSession, folder: str) -> DataFrame:
-    ranked = triage.ranked_queue(inputs.fused(spark, folder))
+    ranked = triage.ranked_queue(inputs.fused(spark, folder, True))
     return ranked.select("rank", "scenario", "entity", day_text("alert_day").alias("alert_day"), "details")
 
 
@@ -344,7 +344,7 @@ def alert_fusion(spark: SparkSession, folder: str) -> DataFrame:
         fused_score, reason, details FROM ranked_alert""",
 )
 def alert_queue(spark: SparkSession, folder: str) -> DataFrame:
-    return triage.alert_queue(inputs.fused(spark, folder)).withColumn("alert_day", day_text("alert_day"))
+    return triage.alert_queue(inputs.fused(spark, folder, True)).withColumn("alert_day", day_text("alert_day"))
 
 
 @query("k9_triage_kpi", "SELECT * FROM kpi_row")

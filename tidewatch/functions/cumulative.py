@@ -4,6 +4,8 @@ through one task.
 Rows are range-partitioned on the order, numbered inside each partition and
 written once. Totals per partition (a frame of at most partitions + groups
 rows) give the offset of every partition, so only partition-sized windows run.
+The order must be unique inside a group: equal keys share a range partition, so
+fold them first where many rows can tie.
 """
 
 from __future__ import annotations

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.session import materialize
+
 SALTS = 32
 
 
@@ -40,6 +42,10 @@ def dense_pairs(edges: DataFrame, min_shared: int, max_degree: int) -> DataFrame
     After the hub rule a counterparty has at most ``max_degree`` accounts, which
     bounds the list each one collects. An account below ``min_shared``
     counterparties cannot be part of a result and is dropped before pairing.
+
+    Pairs are counted twice: first by a 64-bit hash, which keeps the shuffle of
+    all pairs narrow, then by name for the few that may qualify. Hashes that
+    collide only add candidates, so the result is exact.
     """
     light = without_hubs(edges, max_degree)
     busy = (
@@ -48,19 +54,26 @@ def dense_pairs(edges: DataFrame, min_shared: int, max_degree: int) -> DataFrame
         .filter(F.col("count") >= min_shared)
         .select("period", "acct")
     )
-    groups = (
+    groups = materialize(
         light.join(busy, ["period", "acct"], "left_semi")
         .groupBy("period", "cpty")
         .agg(F.sort_array(F.collect_list("acct")).alias("accts"))
         .filter(F.size("accts") > 1)
+        .select("period", "accts"),
+        "community-groups",
     )
     firsts = groups.select("period", "accts", F.posexplode("accts").alias("at", "acct"))
     pairs = firsts.select(
         "period", "acct",
         F.explode(F.slice("accts", F.col("at") + 2, F.size("accts"))).alias("other"),
+    ).withColumn("pair", F.xxhash64("period", "acct", "other"))
+    enough = F.col("shared") >= min_shared
+    candidates = (
+        pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("shared")).filter(enough).select("pair")
     )
     return (
-        pairs.groupBy("period", "acct", "other")
+        pairs.join(candidates, "pair", "left_semi")
+        .groupBy("period", "acct", "other")
         .agg(F.count(F.lit(1)).alias("shared"))
-        .filter(F.col("shared") >= min_shared)
+        .filter(enough)
     )

@@ -53,7 +53,7 @@ def class_distribution(
     counts = df.groupBy(F.col(label).cast("int").alias("found")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    joined = spec.join(F.broadcast(counts), F.col("wanted").eqNullSafe(F.col("found")), "left")
+    joined = spec.join(counts, F.col("wanted").eqNullSafe(F.col("found")), "left")
     name = F.concat(F.lit(f"{rule}:"), F.coalesce(F.col("wanted").cast("string"), F.lit("unknown")))
     return joined.select(
         name.alias("rule"),

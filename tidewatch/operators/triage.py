@@ -116,6 +116,17 @@ def fused_alerts(
     return fuse(joined, cfg)
 
 
+def condense(staged: DataFrame) -> DataFrame:
+    """One alert per (entity, day, scenario), the first by text: alerts that
+    share these three share their score, so the queue keeps at most this one.
+    Applied before any join, it removes the weight of an entity with very many
+    alerts on a day on the map side."""
+    first = F.min(F.struct("details", "reason")).alias("first")
+    return staged.groupBy("entity", "alert_day", "scenario").agg(first).select(
+        "scenario", "entity", "alert_day", "first.details", "first.reason"
+    )
+
+
 def queue_order() -> list[Column]:
     return [
         F.col("fused_score").desc(),

@@ -95,7 +95,8 @@ def run_triage(
     profile = materialize(accounts.daily_profile(tx, cfg), "profile")
     model, figures = account_model(tx, profile, cuts, models)
     fused = triage.fused_alerts(
-        staged, tables["alert_scenario_stats"], alert_scores(model, profile, staged), cfg
+        triage.condense(staged), tables["alert_scenario_stats"],
+        alert_scores(model, profile, staged), cfg
     )
     queue = triage.ranked_queue(fused)
     meta = _write(triage.triage_meta(tx, cfg), folder, "triage_meta")
