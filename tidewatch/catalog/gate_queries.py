@@ -183,7 +183,7 @@ def gate_label_windows(spark: SparkSession, folder: str) -> DataFrame:
     rows, profile = inputs.tx(spark, folder), inputs.profile(spark, folder)
     parts = []
     for name, start, end in (("train", c.day1, c.day2), ("test", c.day2, c.last)):
-        flagged = alerts.flagged_accounts(rows, F.lit(start), F.lit(end))
+        flagged = alerts.flagged_accounts(rows, start, end)
         snap = triage.label_accounts(accounts.snapshot(profile, F.lit(start)).select("acct"), flagged)
         parts += [gates.not_empty(flagged, f"{name}_window"), gates.two_classes(snap, "label", f"{name}_classes")]
     return union_all(parts)

@@ -37,7 +37,7 @@ def filter_history(spark: SparkSession, folder: str) -> DataFrame:
 @query("p5_filter_label_window", "SELECT acct FROM flagged_train")
 def filter_label_window(spark: SparkSession, folder: str) -> DataFrame:
     c = inputs.cuts(spark, folder)
-    return alerts.flagged_accounts(inputs.tx(spark, folder), F.lit(c.day1), F.lit(c.day2))
+    return alerts.flagged_accounts(inputs.tx(spark, folder), c.day1, c.day2)
 
 
 @query(
@@ -114,7 +114,7 @@ def join_rule_weight(spark: SparkSession, folder: str) -> DataFrame:
 def join_label_membership(spark: SparkSession, folder: str) -> DataFrame:
     c = inputs.cuts(spark, folder)
     snap = accounts.snapshot(inputs.profile(spark, folder), F.lit(c.day1)).select("acct")
-    flagged = alerts.flagged_accounts(inputs.tx(spark, folder), F.lit(c.day1), F.lit(c.day2))
+    flagged = alerts.flagged_accounts(inputs.tx(spark, folder), c.day1, c.day2)
     return triage.label_accounts(snap, flagged)
 
 

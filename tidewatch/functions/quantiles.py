@@ -19,14 +19,24 @@ from pyspark.sql import functions as F
 from tidewatch.functions.cumulative import running_sums
 
 
-def unpivot(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+def unpivot(
+    df: DataFrame, values: dict[str, Column], keep: Sequence[str] = ()
+) -> DataFrame:
     """(keep..., column, value) with one row per cell, without a shuffle."""
     cells = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
+        *[F.struct(F.lit(c).alias("column"), v.alias("value")) for c, v in values.items()]
     )
     return df.select(*keep, F.inline(cells))
 
 
+def _snap(value: Column, spans: list[tuple[float, float]]) -> Column:
+    """The value itself inside a bracket, else the next bracket's lower end."""
+    snapped = F.when(value < spans[0][0], spans[0][0]).when(value <= spans[0][1], value)
+    for low, high in spans[1:]:
+        snapped = snapped.when(value < low, low).when(value <= high, value)
+    return snapped.otherwise(float("inf"))
+
+
 def _brackets(row: dict, columns: Sequence[str]) -> dict[str, list[tuple[float, float]]]:
     merged: dict[str, list[tuple[float, float]]] = {}
     for at, column in enumerate(columns):
@@ -50,48 +60,35 @@ def exact_quantiles(
     of NULL and NaN."""
     slack = 2.0 / accuracy  # twice the sketch's rank error
     asked = [min(1.0, max(0.0, p + sign * slack)) for p in probs for sign in (-1, 1)]
+    numbers = {c: F.col(c).cast("double") for c in columns}
     sketch = df.agg(
         F.count(F.lit(1)).alias("n"),
-        *[
-            F.percentile_approx(F.col(c).cast("double"), asked, accuracy).alias(f"q{i}")
-            for i, c in enumerate(columns)
-        ],
+        *[F.percentile_approx(v, asked, accuracy).alias(f"q{i}") for i, v in enumerate(numbers.values())],
+        *[F.min(v).alias(f"min{i}") for i, v in enumerate(numbers.values())],
+        *[F.max(v).alias(f"max{i}") for i, v in enumerate(numbers.values())],
     ).first()
     n = sketch["n"]
     if n == 0:
         raise ValueError("quantiles of an empty frame are undefined")
     targets = sorted({max(1, math.ceil(n * p)) for p in probs})
-    # columns x brackets numbers: bounded by the width of the table
+    # columns x brackets numbers: bounded by the width of the table, so they
+    # become literals of one generated expression per column
     spans = _brackets(sketch.asDict(), columns)
-    span_rows = [(c, [lo for lo, _ in s], [hi for _, hi in s]) for c, s in spans.items()]
-    span_frame = df.sparkSession.createDataFrame(
-        span_rows, "column string, lows array<double>, highs array<double>"
-    )
-    value = F.col("value")
-    inside = F.exists(
-        F.arrays_zip("lows", "highs"), lambda s: (s["lows"] <= value) & (value <= s["highs"])
-    )
-    up = F.coalesce(
-        F.get(F.filter("lows", lambda lo: lo >= value), F.lit(0)),
-        F.lit(float("inf")),
-    )
     counted = (
-        unpivot(df, columns)
-        .join(F.broadcast(span_frame), "column")
-        .groupBy("column", F.when(inside, value).otherwise(up).alias("value"))
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.min("value").alias("lowest"),
-            F.max("value").alias("highest"),
-        )
+        unpivot(df, {c: _snap(v, spans[c]) for c, v in numbers.items()})
+        .groupBy("column", "value")
+        .agg(F.count(F.lit(1)).alias("rows"))
     )
     running = running_sums(counted, [F.col("value")], {"upto": F.col("rows")}, by=["column"])
 
     def at(target: int) -> Column:
         return F.min(F.when(F.col("upto") >= target, F.col("value")))
 
-    return running.groupBy("column").agg(
-        F.sort_array(F.array_distinct(F.array(*[at(t) for t in targets]))).alias("edges"),
-        F.min("lowest").alias("lowest"),
-        F.max("highest").alias("highest"),
+    limits = df.sparkSession.createDataFrame(
+        [(c, sketch[f"min{i}"], sketch[f"max{i}"]) for i, c in enumerate(columns)],
+        "column string, lowest double, highest double",
+    )
+    edges = running.groupBy("column").agg(
+        F.sort_array(F.array_distinct(F.array(*[at(t) for t in targets]))).alias("edges")
     )
+    return edges.join(F.broadcast(limits), "column")

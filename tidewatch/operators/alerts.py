@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def flagged_accounts(tx: DataFrame, after: Column | None = None, until: Column | None = None) -> DataFrame:
+def _midnight_after(day: date) -> Column:
+    return F.lit(str(day + timedelta(days=1))).cast("timestamp_ntz")
+
+
+def flagged_accounts(
+    tx: DataFrame, after: date | None = None, until: date | None = None
+) -> DataFrame:
     """Distinct accounts on either side of a flagged payment, optionally with
-    its calendar day in the half-open window (after, until]."""
+    its calendar day in the half-open window (after, until]. The bounds are
+    compared with the raw timestamp, so the scan can use them."""
     flagged = tx.filter(F.col("is_laundering") == 1)
-    day = F.to_date("tx_time")
     if after is not None:
-        flagged = flagged.filter(day > after)
+        flagged = flagged.filter(F.col("tx_time") >= _midnight_after(after))
     if until is not None:
-        flagged = flagged.filter(day <= until)
+        flagged = flagged.filter(F.col("tx_time") < _midnight_after(until))
     return flagged.select(F.explode(F.array("to_account", "from_account")).alias("acct")).distinct()
 
 

@@ -23,20 +23,24 @@ def quantile_edges(reference: DataFrame, columns: Sequence[str], cfg: DriftConfi
     return exact_quantiles(reference, columns, probabilities(cfg.bins))
 
 
-def bin_of(value: Column, edges: Column, lowest: Column, highest: Column) -> Column:
+def bin_of(value: Column, edges: Sequence[float], lowest: float, highest: float) -> Column:
     """Index of the bin [edge_i, edge_i+1) with open outer ends. A constant
     reference gets three bins: below, equal and above."""
-    by_edges = F.size(F.filter(edges, lambda e: e <= value))
-    around = F.when(value < lowest, 0).when(value == lowest, 1).otherwise(2)
-    return F.when(lowest == highest, around).otherwise(by_edges)
+    if lowest == highest:
+        return F.when(value < lowest, 0).when(value == lowest, 1).otherwise(2)
+    return sum(((value >= edge).cast("int") for edge in edges), F.lit(0))
 
 
 def histogram(df: DataFrame, columns: Sequence[str], edges: DataFrame) -> DataFrame:
     """(column, bin, reference, actual) counts; ``df`` has the boolean
-    ``is_reference``. The edges are one short row per column."""
-    cells = unpivot(df, columns, ["is_reference"]).join(F.broadcast(edges), "column")
-    place = bin_of(F.col("value"), F.col("edges"), F.col("lowest"), F.col("highest"))
-    return cells.groupBy("column", place.alias("bin")).agg(
+    ``is_reference``. The edges are one short row per column, so they become
+    literals; the counts fold on the map side to a few rows per column."""
+    known = {r["column"]: r for r in edges.collect()}
+    places = {
+        c: bin_of(F.col(c).cast("double"), known[c]["edges"], known[c]["lowest"], known[c]["highest"])
+        for c in columns
+    }
+    return unpivot(df, places, ["is_reference"]).groupBy("column", F.col("value").alias("bin")).agg(
         F.count_if("is_reference").alias("reference"),
         F.count_if(~F.col("is_reference")).alias("actual"),
     )

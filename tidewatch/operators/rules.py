@@ -84,7 +84,8 @@ def _structuring_alerts(grouped: DataFrame, cfg: RuleConfig) -> DataFrame:
 
 def structuring(tx: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame:
     """Several payments just below the reporting threshold in one period."""
-    band = with_period(tx, cfg).filter(in_currency(cfg) & in_band(F.col("amount_paid"), cfg))
+    # compared as stored, so that the bounds reach the scan
+    band = with_period(tx.filter(in_currency(cfg) & in_band(F.col("amount_paid"), cfg)), cfg)
     grouped = band.groupBy(F.col("from_account").alias("entity"), "period").agg(
         F.count(F.lit(1)).alias("txs"),
         F.count_distinct("to_account").alias("counterparties"),
@@ -234,9 +235,8 @@ def _circular_alerts(pairs: DataFrame, cfg: RuleConfig) -> DataFrame:
 
 def circular_flow(tx: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame:
     """Money that returns to its origin over two or three transfers."""
-    legs = with_period(tx, cfg).filter(
-        in_currency(cfg) & (F.col("amount_paid") >= F.lit(cfg.cycle_min_leg))
-    )
+    large = tx.filter(in_currency(cfg) & (F.col("amount_paid") >= F.lit(cfg.cycle_min_leg)))
+    legs = with_period(large, cfg)
     pairs = transfer_pairs(legs.withColumn("amt", F.col("amount_paid")))
     return _circular_alerts(pairs, cfg)
 

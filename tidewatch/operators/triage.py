@@ -325,7 +325,7 @@ def scenario_kpi(kpi: DataFrame, cfg: TriageConfig = TriageConfig()) -> DataFram
 
 def evaluation_accounts(tx: DataFrame, cuts: CutPoints) -> DataFrame:
     """Flagged accounts in the evaluation window (day2, last]."""
-    return flagged_accounts(tx, F.lit(cuts.day2), F.lit(cuts.last))
+    return flagged_accounts(tx, cuts.day2, cuts.last)
 
 
 def check_alerts(alerts: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def account_model(
     windows = [(cuts.day1, cuts.day2), (cuts.day2, cuts.last)]
     sides = []
     for name, (start, end) in zip(("train", "test"), windows, strict=True):
-        flagged = alerts.flagged_accounts(tx, F.lit(start), F.lit(end))
+        flagged = alerts.flagged_accounts(tx, start, end)
         gates.enforce(gates.not_empty(flagged, f"{name}_label_window"))
         snap = triage.label_accounts(accounts.snapshot(profile, F.lit(start)), flagged)
         rows = materialize(_account_rows(snap.withColumnRenamed("label", "y"), ["y"]), "accounts")
