@@ -101,8 +101,8 @@ def test_labels_cuts_metrics_schema(spark):
     assert outcome(gates.cut_before_last(cuts))[0][1] is False
     models = spark.createDataFrame([("a", 0.81), ("b", 0.79), ("c", None)], "model string, roc_auc double")
     assert [p for _, p in outcome(gates.metric_floor(models, "roc_auc", 0.8))] == [True, False, False]
-    assert outcome(gates.alert_schema(labels, ["y"])) == [("y", True)]
-    assert outcome(gates.alert_schema(labels, ["x"])) == [("y", False)]
+    assert outcome(gates.column_set(labels, ["y"])) == [("y", True)]
+    assert outcome(gates.column_set(labels, ["x"])) == [("y", False)]
 
 
 def test_enforce_lists_all_failures(ids):

@@ -108,8 +108,10 @@ def gate_rate_band(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("g9_gate_scalar_present", """
-    SELECT 'scalar_present' AS rule, '1' AS expected, '1' AS actual, true AS passed
-    UNION ALL SELECT 'scalar_missing', '1', '0', false""")
+    SELECT 'scalar_present' AS rule, '1' AS expected, CAST(count(v) AS VARCHAR) AS actual, count(v) = 1 AS passed
+    FROM (SELECT count(*) AS v FROM bank_tx)
+    UNION ALL SELECT 'scalar_missing', '1', CAST(count(v) AS VARCHAR), count(v) = 1
+    FROM (SELECT max(tx_time) AS v FROM bank_tx WHERE tx_time < TIMESTAMP '1990-01-01 00:00:00')""")
 def gate_scalar_present(spark: SparkSession, folder: str) -> DataFrame:
     """The number of payments exists; the latest payment before 1990 does not."""
     rows = inputs.tx(spark, folder)
@@ -120,10 +122,16 @@ def gate_scalar_present(spark: SparkSession, folder: str) -> DataFrame:
     ])
 
 
+_NULLS = " OR ".join(f"{c} IS NULL" for c in graph.FEATURES if c != "louvain_community")
+
+
 @query(
     "g10_gate_feature_coverage",
-    """SELECT 'coverage_rows' AS rule, CAST(count(*) AS VARCHAR) AS expected, CAST(count(*) AS VARCHAR) AS actual, true AS passed
-       FROM graph_node UNION ALL SELECT 'coverage_ids', '0', '0', true UNION ALL SELECT 'coverage_nulls', '0', '0', true""",
+    f"""SELECT rule, CAST(expected AS VARCHAR) AS expected, CAST(actual AS VARCHAR) AS actual, expected = actual AS passed FROM (
+          SELECT 'coverage_rows' AS rule, (SELECT count(*) FROM graph_node) AS expected, (SELECT count(*) FROM graph_feature) AS actual
+          UNION ALL SELECT 'coverage_ids', 0, (SELECT count(*) FROM graph_node n FULL JOIN graph_feature f ON n.id = f.id
+                                               WHERE n.id IS NULL OR f.id IS NULL)
+          UNION ALL SELECT 'coverage_nulls', 0, (SELECT count(*) FROM graph_feature WHERE {_NULLS}))""",
 )
 def gate_feature_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return gates.feature_coverage(
@@ -154,9 +162,11 @@ def gate_nonempty(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("g14_gate_alert_schema", """
     SELECT 'alert_schema' AS rule, 'details,entity,reason,scenario' AS expected,
-           'details,entity,reason,scenario' AS actual, true AS passed""")
+           string_agg(name, ',' ORDER BY name) AS actual,
+           string_agg(name, ',' ORDER BY name) = 'details,entity,reason,scenario' AS passed
+    FROM (SELECT DISTINCT unnest(json_keys(to_json(a))) AS name FROM all_alerts a)""")
 def gate_alert_schema(spark: SparkSession, folder: str) -> DataFrame:
-    return gates.alert_schema(inputs.alert_table(spark, folder), rules.ALERT_COLUMNS)
+    return gates.column_set(inputs.alert_table(spark, folder), rules.ALERT_COLUMNS)
 
 
 @query("g15_gate_alert_day", report(

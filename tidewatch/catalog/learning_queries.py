@@ -17,16 +17,16 @@ from tidewatch.catalog.registry import cte, query
 from tidewatch.config import DriftConfig, ModelConfig, RuleConfig, fingerprint
 from tidewatch.functions.sampling import seeded_sample
 from tidewatch.learning import attribution, matrix, runs, sage, training
-from tidewatch.operators import drift, graph, metrics
+from tidewatch.operators import drift, gates, graph, metrics
+from tidewatch.plans.alerting import account_model
 from tidewatch.session import materialize, scratch_path
-from tidewatch.sources.adapters import EMBEDDING_WIDTH, NODE_FEATURES, graph_vectors
-from tidewatch.sources.schemas import feature_names
+from tidewatch.sources.adapters import NODE_FEATURES, graph_vectors
+from tidewatch.sources.files import union_all
 
 MODELS = replace(ModelConfig(), boosted_trees=4, forest_trees=20, max_depth=4)
 DRIFT = DriftConfig()
 GRAPH_COLUMNS = [c for c in graph.FEATURES]
 ALL_COLUMNS = [*NODE_FEATURES, *GRAPH_COLUMNS]
-EMBEDDING = feature_names(EMBEDDING_WIDTH)
 
 
 def _matrix(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,8 +112,8 @@ def class_weights(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _plain_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Two made-up models over the labelled nodes of the test period, three seeds
-    each; their scores are plain arithmetic, so SQL can check the evaluation."""
+    """Two scores of every labelled node of the test period for three seeds. They
+    are plain arithmetic on the node, so SQL can check the evaluation."""
     rows = matrix.labelled(inputs.nodes(spark, folder)).filter(F.col("step") >= SPLIT.test_min)
     seeds = F.array(*[F.lit(s).cast("bigint") for s in MODELS.seeds])
     y = matrix.binary_label("label")
@@ -358,9 +358,7 @@ def category_share_stability(spark: SparkSession, folder: str) -> DataFrame:
     SELECT 'psi_breach' AS rule, '0' AS expected, CAST(count(*) FILTER (WHERE psi > {DRIFT.breach}) AS VARCHAR) AS actual,
            count(*) FILTER (WHERE psi > {DRIFT.breach}) = 0 AS passed FROM ({psi_sql("drift_count", "col")}) d""")
 def gate_psi_breach(spark: SparkSession, folder: str) -> DataFrame:
-    from tidewatch.operators.gates import no_breach
-
-    return no_breach(drift.psi_drift(_sided(_matrix(spark, folder)), DRIFT_COLUMNS, DRIFT))
+    return gates.no_breach(drift.psi_drift(_sided(_matrix(spark, folder)), DRIFT_COLUMNS, DRIFT))
 
 
 @query("t6_sample_seeded", """
@@ -395,10 +393,8 @@ def baseline_forest(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("g21_gate_roc_auc")
 def gate_roc_auc(spark: SparkSession, folder: str) -> DataFrame:
-    from tidewatch.operators.gates import metric_floor
-
     both = baseline_logistic(spark, folder).unionByName(baseline_forest(spark, folder))
-    return metric_floor(both, "roc_auc", MODELS.smoke_roc_auc)
+    return gates.metric_floor(both, "roc_auc", MODELS.smoke_roc_auc)
 
 
 @query("m5_gbt_challenger")
@@ -410,8 +406,6 @@ def gbt_challenger(spark: SparkSession, folder: str) -> DataFrame:
         .withColumn("seed", F.lit(s))
         for s in MODELS.seeds
     ]
-    from tidewatch.sources.files import union_all
-
     return metrics.rank_metrics(union_all(parts), ["seed"])
 
 
@@ -465,8 +459,6 @@ def sage_baseline(spark: SparkSession, folder: str) -> DataFrame:
 @query("k5_walk_forward_account_model")
 def walk_forward_account_model(spark: SparkSession, folder: str) -> DataFrame:
     """Account behaviour before a cut predicts flagged payments after it."""
-    from tidewatch.plans.alerting import account_model
-
     _, figures = account_model(
         inputs.tx(spark, folder), inputs.profile(spark, folder), inputs.cuts(spark, folder), MODELS
     )

@@ -215,11 +215,10 @@ def feature_coverage(features: DataFrame, nodes: DataFrame, columns: Iterable[st
     )))
 
 
-def alert_schema(alerts: DataFrame, expected: Iterable[str], rule: str = "alert_schema") -> DataFrame:
-    """The column set is exactly the expected one; needs no rows."""
-    want, got = ",".join(sorted(expected)), ",".join(sorted(alerts.columns))
-    one = alerts.sparkSession.range(1)
-    return _report(one, rule, F.lit(want), F.lit(got), F.lit(want == got))
+def column_set(df: DataFrame, expected: Iterable[str], rule: str = "alert_schema") -> DataFrame:
+    """The stored table's column set is exactly the expected one."""
+    want, got = ",".join(sorted(expected)), ",".join(sorted(df.columns))
+    return _report(_counted(df), rule, F.lit(want), F.lit(got), F.lit(want == got))
 
 
 def two_classes(df: DataFrame, label: str, rule: str = "two_classes") -> DataFrame:
