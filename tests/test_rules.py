@@ -77,7 +77,9 @@ def test_only_the_planted_pattern_fires(payments, name):
 
 
 def test_details_of_every_scenario(payments):
-    tx = payments(structuring_rows() + velocity_rows() + churn_rows() + cycle_rows() + dense_rows())
+    # the cycles use account names of other patterns, so they get their own day
+    later = [("05" + when[2:], *rest) for when, *rest in cycle_rows()]
+    tx = payments(structuring_rows() + velocity_rows() + churn_rows() + later + dense_rows())
     details = {}
     for row in rules.all_scenarios(tx).collect():
         details.setdefault((row["scenario"], row["entity"]), row["details"])
