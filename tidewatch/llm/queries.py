@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import packing, token_files, topk
+from tidewatch.llm import lm, packing, quality, secrets, token_files, topk, toxicity
 from tidewatch.llm.common import prepare, table
 from tidewatch.session import scratch_path
 
@@ -48,6 +48,21 @@ def write_and_read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.digest(token_files.read_token_files(spark, target))
 
 
+@query("op6_toxicity")
+def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op7_quality")
+def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op8_secrets")
+def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, folder, "documents"))
+
+
 TOP_K_SQL = """
 WITH rows AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -71,3 +86,8 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 def exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
+@query("op10_lm_scores")
+def lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score(table(spark, folder, "documents"))
