@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import lm, ngram_join, packing, quality, secrets, token_files, topk, toxicity
+from tidewatch.llm import lm, ngram_join, packing, pii, quality, secrets, token_files, topk, toxicity
 from tidewatch.llm.common import prepare, table
 from tidewatch.session import scratch_path
 
@@ -127,3 +127,8 @@ GROUP BY documents.doc_id
 @query("op5_ngram_jaccard", NGRAM_SQL)
 def ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.join(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op2_pii")
+def personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.report(table(spark, folder, "documents"))
