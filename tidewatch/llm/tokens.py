@@ -14,14 +14,16 @@ import json
 import os
 import re
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import regex
 
 # A worker keeps two generations of pieces of at most so many characters each (with
 # PIECE_COST for the entry itself); the older one goes when the younger is full.
-CACHE_CHARS = 20_000_000
+CACHE_CHARS = 30_000_000
 PIECE_COST = 40
+CACHE_WORDS = 500_000
 # Characters whose class and case no Unicode version disputes.
 _PLAIN = re.compile("[\n!-~¡-ɏ]+")
 _SPECIAL = "<|"
@@ -38,6 +40,10 @@ def byte_letters() -> str:
     return "".join(chr(b) if b in plain else chr(next(others)) for b in range(256))
 
 
+def _four_bytes(*ids: int) -> bytes:
+    return pack(f"<{len(ids)}I", *ids)
+
+
 class _WholeText(Exception):
     """A piece starts with white space or is empty: its cut is not one of the tokenizer's."""
 
@@ -46,12 +52,16 @@ class _Words(dict):
     """Ids of words, by word."""
 
     def __init__(self, model) -> None:
-        self.model = model
-        self.letters = byte_letters()
+        self.tokenize = model.tokenize
+        self.letters = dict(enumerate(byte_letters()))
+        self.blank = self.letters[0x20]
 
     def __missing__(self, word: str) -> bytes:
-        spelt = word if word.isascii() and word.isalnum() else "".join(self.letters[b] for b in word.encode())
-        ids = self[word] = np.array([t.id for t in self.model.tokenize(spelt)], dtype="<u4").tobytes()
+        if word.isascii() and word[1:].isalpha():
+            spelt = self.blank + word[1:] if word[0] == " " else word
+        else:
+            spelt = word.encode().decode("latin-1").translate(self.letters)
+        ids = self[word] = _four_bytes(*[t.id for t in self.tokenize(spelt)])
         return ids
 
 
@@ -101,7 +111,9 @@ class PieceEncoder:
         """Ids of ``text`` as little-endian unsigned 32-bit integers."""
         first, *rest = text.split(" ")
         if self.pieces.held > CACHE_CHARS:
-            self.pieces, self.words = _Pieces(self, dict(self.pieces)), _Words(self.tokenizer.model)
+            self.pieces = _Pieces(self, dict(self.pieces))
+        if len(self.words) > CACHE_WORDS:
+            self.words = _Words(self.tokenizer.model)
         try:
             return b"".join([self.whole(first) if first else b"", *map(self.pieces.__getitem__, rest)])
         except _WholeText:
