@@ -457,7 +457,8 @@ def _class_links(sets: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id."""
+    """doc_id, text_key, n_shingles, component_id, label (a number of the component that
+    holds also where doc_ids repeat)."""
     found = marks(docs, width)
     key = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
     shared = found.where("shared")
@@ -472,10 +473,11 @@ def join(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         "class", "id", F.coalesce("label", "class").alias("label"))
     named = materialize(named, "shingle-components")
     smallest = named.groupBy("label").agg(F.min("id").alias("component"))
-    by_class = named.join(smallest, "label").select("class", "component")
-    placed = shared.join(by_class, "class").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component")
-    alone = found.where("not shared").select("doc_id", "text_key", F.col("n").alias("n_shingles"), key.alias("component"))
+    by_class = named.join(smallest, "label").select("class", "component", "label")
+    own = ["doc_id", "text_key", F.col("n").alias("n_shingles")]
+    placed = shared.join(by_class, "class").select(*own, "component", "label")
+    alone = found.where("not shared").select(*own, key.alias("component"), F.col("class").alias("label"))
     everything = placed.unionAll(alone)
     return everything.select(
-        "doc_id", "text_key", "n_shingles",
+        "doc_id", "text_key", "n_shingles", "label",
         F.when(F.col("component") != NO_ID, F.col("component")).alias("component_id"))

@@ -107,10 +107,12 @@ def _cut(df: DataFrame, name: str, pattern: str, needs: Column) -> DataFrame:
     return df.withColumn(name, _spans(F.col(hits), F.col(f"{name}_pieces"))).drop(hits, f"{name}_pieces")
 
 
-def scan(docs: DataFrame, *keep: str) -> DataFrame:
+def scan(docs: DataFrame, *more: Column, texts: bool = False) -> DataFrame:
     """Per row: doc_id, the valid matches of each kind, and ``others``: candidates
-    outside them, all as arrays of (s, e, m, b). ``keep`` names columns of texts_of."""
-    rows = texts_of(docs).withColumn("digit", F.col("text").rlike("[0-9]"))
+    outside them, all as arrays of (s, e, m, b); with ``texts`` the text; and ``more``."""
+    rows = texts_of(docs, *more)
+    keep = [c for c in rows.columns if c not in ("doc_id", "text")] + ["text"] * texts
+    rows = rows.withColumn("digit", F.col("text").rlike("[0-9]"))
     needs = {
         "email": F.contains("text", F.lit("@")), "ip": F.col("digit"), "card": F.col("digit"),
         "phone": F.contains("text", F.lit("+")) & F.col("digit"),
@@ -169,10 +171,11 @@ def _listed(kind: str) -> Column:
     return F.transform(kind, lambda x: F.concat_ws(":", F.lit(kind), x["s"], x["e"]))
 
 
-def extract(docs: DataFrame, *keep: str) -> DataFrame:
+def extract(docs: DataFrame, *more: Column, texts: bool = False) -> DataFrame:
     """row (a number of this run), doc_id, the kinds' spans, ``found`` (the spans of
-    kind context, in order), and the columns named in ``keep``."""
-    stored = materialize(scan(docs, *keep).withColumn("row", F.monotonically_increasing_id()), "pii-scan")
+    kind context, in order), with ``texts`` the text, and ``more``."""
+    stored = scan(docs, *more, texts=texts).withColumn("row", F.monotonically_increasing_id())
+    stored = materialize(stored, "pii-scan")
     seen = _occurrences(stored)
     good = confident_patterns(seen)
     more = seen.where(~F.col("seed")).join(good, "pattern", "left_semi").groupBy("row").agg(

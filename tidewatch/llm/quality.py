@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -95,7 +96,7 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-def features(docs: DataFrame, *more: str) -> DataFrame:
+def features(docs: DataFrame) -> DataFrame:
     """doc_id, x (the statistics)."""
     def make():
         def step(batch: pa.RecordBatch) -> dict:
@@ -197,3 +198,16 @@ def apply(found: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
         return step
 
     return map_batches(found.select("doc_id", "x"), "doc_id long, score double, predicted int", make)
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score reaches the threshold."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.array([statistics(t or "") for t in batch.column(place).to_pylist()])
+                yield batch.filter(pa.array(model.score(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

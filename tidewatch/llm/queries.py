@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import lm, ngram_join, packing, pii, quality, secrets, token_files, topk, toxicity
+from tidewatch.llm import decontamination, lm, ngram_join, packing, pii, quality, secrets, token_files, topk, toxicity
 from tidewatch.llm.common import prepare, table
 from tidewatch.session import scratch_path
 
@@ -132,3 +133,14 @@ def ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_pii")
 def personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.report(table(spark, folder, "documents"))
+
+
+@query("op1_decontamination")
+def contaminated(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.drop("text_key")
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
