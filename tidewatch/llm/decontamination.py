@@ -1,25 +1,23 @@
 """Benchmark decontamination: BM25 over the test items, block-max WAND, verification.
 
-An inverted index over the items (not the corpus) holds per term its postings in item
-order, cut into blocks with their largest impact. Impacts are BM25 contributions as a
+An inverted index over the items (not the corpus) holds per term, a pair of neighbouring
+words, its postings in item order, cut into blocks with their largest impact. Impacts are BM25 contributions as a
 share of the item's own full score, so one threshold fits items of all lengths. Every
 training text is cut into overlapping passages; each passage queries the index, and
 every item whose share reaches ``THRESHOLD`` is found by block-max WAND. A found item
-is verified in the passage: enough 5-word shingles of its question and of its answer
-must be there (``OVERLAP`` of each).
+is verified in the passage: ``OVERLAP`` of its 5-word shingles must be there, and
+``PART_OVERLAP`` of its question's and of its answer's.
 
-Passages are not walked one by one: a passage needs rare terms (``Index.rare``) to
-reach the threshold, because an item's common terms alone stay below half of it. Only
-passages around rare terms, whose summed term maxima reach the threshold, are queried;
-this is WAND's own bound, taken first over all passages of a text.
+Passages whose terms' largest impacts do not add up to the threshold have no pivot in
+WAND; this is seen for all passages of a text at once, and the others are walked.
 
 The index goes to the workers in shards of items of at most ``SHARD_CHARS`` characters,
 one broadcast and one pass per shard, with document frequencies of all items. So its size is
 bounded and no item is left out.
 
 Question and answer: the answer is what follows the last sentence end (``.?!`` or a line
-end) inside the item, or its last quarter of words if there is none. Shingles that
-reach into the answer belong to it.
+end) inside the item, and at least its last third of words. Shingles that reach into
+the answer belong to it.
 
 Defined cases: items with null or blank text match nothing; an item of fewer than five
 words is one shingle of all of them; null and blank documents match nothing; repeated
@@ -45,6 +43,7 @@ from tidewatch.session import materialize
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 OVERLAP = 0.75
+PART_OVERLAP = 0.5
 WIDTH = 5
 POSTING_BLOCK = 16
 LEAST_PASSAGE = 96  # words; at least twice the longest item of a shard
@@ -57,8 +56,13 @@ def parts_of(text: str) -> tuple[list[bytes], int]:
     words = words_of(text)
     stripped = text.strip()
     ends = [m.end() for m in _SENTENCE.finditer(stripped)]
-    at = len(words_of(stripped[: ends[-1]])) if ends else len(words) - max(1, len(words) // 4)
-    return words, max(0, min(at, len(words) - 1))
+    at = len(words_of(stripped[: ends[-1]])) if ends else len(words)
+    return words, max(0, min(at, len(words) - max(1, len(words) // 3)))
+
+
+def terms_of(words: list[bytes]) -> list:
+    """Pairs of neighbours; of a single word the word."""
+    return [a + b" " + b for a, b in zip(words, words[1:], strict=False)] if len(words) > 1 else words
 
 
 def shingles(words: list[bytes], width: int = WIDTH) -> list[tuple[bytes, ...]]:
@@ -80,14 +84,15 @@ class Index:
     blocks: dict[bytes, list[tuple[int, float]]] = field(default_factory=dict)
     question: list[set] = field(default_factory=list)
     answer: list[set] = field(default_factory=list)
-    rare: dict[bytes, float] = field(default_factory=dict)
     longest: int = 0
+    single: bool = False  # is there an item of one word?
 
     def __post_init__(self) -> None:
         shares: list[dict[bytes, float]] = []
         for number, (_, text) in enumerate(self.items):
             words, cut = parts_of(text)
             self.longest = max(self.longest, len(words))
+            self.single |= len(words) == 1
             share = self._shares(words)
             shares.append(share)
             for term, impact in share.items():
@@ -101,22 +106,12 @@ class Index:
                 (listed[min(len(listed), a + POSTING_BLOCK) - 1][0], max(i for _, i in listed[a : a + POSTING_BLOCK]))
                 for a in range(0, len(listed), POSTING_BLOCK)
             ]
-        # commonest terms first, as long as no item's share of them passes half the threshold
-        used = [0.0] * len(self.items)
-        common: set[bytes] = set()
-        for term in sorted(self.postings, key=lambda t: (-self.df[t], t)):
-            if any(used[n] + i > self.threshold / 2 for n, i in self.postings[term]):
-                break
-            common.add(term)
-            for n, i in self.postings[term]:
-                used[n] += i
-        self.rare = {t: m for t, m in self.top.items() if t not in common}
 
     def _shares(self, words: list[bytes]) -> dict[bytes, float]:
-        norm = K1 * (1 - B + B * len(words) / max(self.mean_length, 1e-9))
+        norm = K1 * (1 - B + B * len(words) / self.mean_length)
         raw = {
             t: math.log(1 + (self.n_items - self.df[t] + 0.5) / (self.df[t] + 0.5)) * n * (K1 + 1) / (n + norm)
-            for t, n in Counter(words).items()
+            for t, n in Counter(terms_of(words)).items()
         }
         total = sum(raw.values())
         return {t: v / total for t, v in raw.items()}
@@ -175,49 +170,46 @@ class Index:
             cursors = [c for i, c in enumerate(cursors) if i > pivot or skip(c, to)]
         return found
 
-    def passages(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
-        """Stretches of words that may hold an item: those whose summed maxima of
-        distinct rare terms reach what common terms leave open."""
-        half = max(LEAST_PASSAGE // 2, self.longest)
-        rare = self.rare
-        hits = [(i, w) for i, w in enumerate(words) if w in rare]
-        if not hits:
-            return
+    def passages(self, words: list[bytes]) -> Iterator[tuple[list[bytes], set[bytes]]]:
+        """Overlapping passages, any of them at least twice as long as any item, whose
+        distinct terms' maxima reach the threshold; with these terms."""
+        half = max(LEAST_PASSAGE // 2, self.longest + 1)
         by_half: dict[int, set[bytes]] = defaultdict(set)
-        for i, w in hits:
-            by_half[i // half].add(w)
-        need = self.threshold / 2 - 1e-9
-        starts = sorted({h for h in by_half} | {h - 1 for h in by_half if h > 0})
-        for h in starts:
+        for i, term in enumerate(terms_of(words)):
+            if term in self.top:
+                by_half[i // half].add(term)
+        if self.single and len(words) > 1:
+            for i, word in enumerate(words):
+                if word in self.top:
+                    by_half[i // half].add(word)
+        for h in sorted({*by_half} | {h - 1 for h in by_half if h > 0}):
             terms = by_half.get(h, set()) | by_half.get(h + 1, set())
-            if sum(rare[t] for t in terms) >= need:
-                yield h * half, min(len(words), (h + 2) * half)
+            if sum(self.top[t] for t in terms) >= self.threshold - 1e-9:
+                yield words[h * half : (h + 2) * half + 1], terms
 
     def verified(self, words: list[bytes]) -> dict[int, tuple[float, float, float]]:
         """Item number: share, question overlap, answer overlap; the best per item."""
         best: dict[int, tuple[float, float, float]] = {}
-        for a, b in self.passages(words):
-            passage = words[a:b]
-            terms = set(passage)
-            if sum(self.top.get(t, 0.0) for t in terms) < self.threshold - 1e-9:
-                continue
+        for passage, terms in self.passages(words):
             grams: dict[int, set] = {}
             for number, share in self.search(terms):
                 q, r = self.question[number], self.answer[number]
                 width = len(next(iter(r)))
                 if width not in grams:
                     grams[width] = set(shingles(passage, width))
-                answer = len(r & grams[width]) / len(r)
-                question = len(q & grams[width]) / len(q) if q else answer
-                if min(question, answer) >= OVERLAP:
+                in_q, in_r = len(q & grams[width]), len(r & grams[width])
+                answer = in_r / len(r)
+                question = in_q / len(q) if q else answer
+                if in_q + in_r >= OVERLAP * (len(q) + len(r)) and min(question, answer) >= PART_OVERLAP:
                     now = (share, question, answer)
-                    if min(now[1:]) > min(best.get(number, (0, -1, -1))[1:]) or (
-                        min(now[1:]) == min(best[number][1:]) and share > best[number][0]
-                    ):
-                        best[number] = now
+                    best[number] = max(best.get(number, now), now, key=_better)
         return best
 
 
+def _better(found: tuple[float, float, float]) -> tuple[float, float]:
+    return min(found[1:]), found[0]
+
+
 _HIT_SCHEMA = (
     "doc_id long, text_key long, item_id long, bm25_share double, question_overlap double, answer_overlap double"
 )
@@ -229,7 +221,7 @@ _HITS = pa.schema([
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [w for t in text_list(batch) for w in set(words_of(t))]
+        found = [w for t in text_list(batch) for w in set(terms_of(words_of(t)))]
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["term"])
 
 
@@ -276,7 +268,7 @@ def find(docs: DataFrame, benchmark: DataFrame, shard_chars: int = SHARD_CHARS,
                     best: dict[int | None, tuple[float, float, float]] = {}
                     for number, values in index.verified(words_of(text)).items():
                         name = index.items[number][0]
-                        best[name] = max(best.get(name, values), values, key=lambda v: (min(v[1:]), v[0]))
+                        best[name] = max(best.get(name, values), values, key=_better)
                     for name, values in best.items():
                         for field_, value in zip(_HITS.names, (key, text_key, name, *values), strict=True):
                             out[field_].append(value)
