@@ -12,7 +12,7 @@ medium, severe), and the final fit orders the four grades with shared weights.
 
 The fit uses a bounded sample of labelled rows (``SAMPLE_PER_CLASS`` per class, those
 with the smallest hash of their id) and the ``FEATURES`` words that tell the classes
-apart best in it, so what reaches the driver is bounded. Everything else covers all rows.
+apart best in it (with a chi-squared of ``LEAST_STRENGTH`` at least), so what reaches the driver is bounded. Everything else covers all rows.
 
 Defined cases: a null text is empty and has no features; labels that are null or of
 absent documents teach nothing; equal texts of the sample teach once; with one class
@@ -37,6 +37,7 @@ from tidewatch.session import materialize
 SAMPLE_PER_CLASS = 10_000
 FEATURES = 2_000
 LEAST_DOCUMENTS = 4
+LEAST_STRENGTH = 15.0  # of a word's chi-squared against the class shares
 RIDGE = 1.0
 ROUNDS = 300
 GRADES = 3  # of toxic rows
@@ -44,14 +45,20 @@ GRADES = 3  # of toxic rows
 _MARKS = re.compile(rb"^[^0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff]+$")
 
 
+PREFIX = 6
+
+
 def words(text: str) -> Counter:
-    """Counts of lower-cased words without punctuation around them."""
+    """Counts of lower-cased words without punctuation around them, and of the first
+    ``PREFIX`` bytes of words that are as long, which inflected forms share."""
     raw = text.encode("utf-8", "surrogatepass").lower()
     counts: Counter = Counter()
     for word, n in Counter(raw.split()).items():
         bare = _MARKS.sub(b"", word)
         if bare:
             counts[bare] += n
+        if len(bare) >= PREFIX:
+            counts[b"<" + bare[:PREFIX]] += n
     return counts
 
 
@@ -160,7 +167,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
     share = sizes[1] / (sizes[0] + sizes[1])
     # squared standardised difference from the class share
     strength = (F.col("a") - F.col("n") * share) ** 2 / (F.col("n") * share * (1 - share))
-    best = seen.orderBy(F.desc(strength), "word").limit(features).collect()
+    best = seen.where(strength >= LEAST_STRENGTH).orderBy(F.desc(strength), "word").limit(features).collect()
     vocabulary = {bytes(r["word"]): i for i, r in enumerate(best)}
 
     def narrow():
