@@ -179,7 +179,7 @@ def gate_alert_day(spark: SparkSession, folder: str) -> DataFrame:
 def _classes(name: str, snapshot_cut: str, flagged: str) -> str:
     return f"""SELECT '{name}_classes' AS rule, '2' AS expected, CAST(count(DISTINCT f.acct IS NULL) AS VARCHAR) AS actual,
         count(DISTINCT f.acct IS NULL) = 2 AS passed
-        FROM (SELECT DISTINCT acct FROM tx_leg, cut WHERE tx_leg.day < {snapshot_cut}) s LEFT JOIN {flagged} f ON s.acct = f.acct"""
+        FROM (SELECT DISTINCT acct FROM account_line, cut WHERE account_line.day < {snapshot_cut}) s LEFT JOIN {flagged} f ON s.acct = f.acct"""
 
 
 @query(

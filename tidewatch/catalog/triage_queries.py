@@ -42,7 +42,7 @@ def filter_label_window(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "p7_project_legs",
-    f"SELECT acct, cpty, {day('day')} AS day, CAST(amt_in AS DOUBLE) AS amt_in, CAST(amt_out AS DOUBLE) AS amt_out FROM tx_leg",
+    f"SELECT acct, cpty, {day('day')} AS day, CAST(amt_in AS DOUBLE) AS amt_in, CAST(amt_out AS DOUBLE) AS amt_out FROM account_line",
 )
 def project_legs(spark: SparkSession, folder: str) -> DataFrame:
     return accounts.account_legs(inputs.tx(spark, folder)).select(
@@ -108,7 +108,7 @@ def join_rule_weight(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "j14_join_label_membership",
     """SELECT s.acct, CASE WHEN f.acct IS NULL THEN 0 ELSE 1 END AS label
-       FROM (SELECT DISTINCT acct FROM tx_leg, cut WHERE tx_leg.day < day1) s
+       FROM (SELECT DISTINCT acct FROM account_line, cut WHERE account_line.day < day1) s
        LEFT JOIN flagged_train f ON s.acct = f.acct""",
 )
 def join_label_membership(spark: SparkSession, folder: str) -> DataFrame:
@@ -132,7 +132,7 @@ def join_queue_membership(spark: SparkSession, folder: str) -> DataFrame:
 # --- aggregations ---
 
 
-@query("a5_agg_filtered", f"SELECT acct, {FEATURE_SQL} FROM tx_leg GROUP BY acct")
+@query("a5_agg_filtered", f"SELECT acct, {FEATURE_SQL} FROM account_day GROUP BY acct")
 def agg_filtered(spark: SparkSession, folder: str) -> DataFrame:
     """All behaviour features over the whole history."""
     return accounts.snapshot(inputs.profile(spark, folder), F.lit("9999-12-31").cast("date"))
@@ -142,7 +142,7 @@ def agg_filtered(spark: SparkSession, folder: str) -> DataFrame:
     "a6_agg_ratio_nullif",
     f"""SELECT acct, CAST(count(*) FILTER (WHERE amt_out < {TRIAGE.reporting_threshold}) AS DOUBLE)
         / NULLIF(count(*), 0) AS share
-        FROM tx_leg WHERE payment_currency = 'US Dollar' AND amt_out > 0 GROUP BY acct""",
+        FROM account_line WHERE payment_currency = 'US Dollar' AND amt_out > 0 GROUP BY acct""",
 )
 def agg_ratio_nullif(spark: SparkSession, folder: str) -> DataFrame:
     legs = accounts.account_legs(inputs.tx(spark, folder)).filter(
@@ -172,7 +172,7 @@ def agg_precision(spark: SparkSession, folder: str) -> DataFrame:
     ).select("scenario", "laundering_entity_precision")
 
 
-@query("a11_agg_distinct_days", "SELECT acct, count(DISTINCT day) AS active_days FROM tx_leg GROUP BY 1")
+@query("a11_agg_distinct_days", "SELECT acct, count(DISTINCT day) AS active_days FROM account_line GROUP BY 1")
 def agg_distinct_days(spark: SparkSession, folder: str) -> DataFrame:
     legs = accounts.account_legs(inputs.tx(spark, folder))
     return legs.groupBy("acct").agg(F.count_distinct(F.to_date("tx_time")).alias("active_days"))
@@ -301,7 +301,7 @@ def triage_cut_points(spark: SparkSession, folder: str) -> DataFrame:
     return frame.select(*[day_text(c).alias(c) for c in ("first", "last", "day1", "day2")])
 
 
-@query("k3_account_snapshot", f"SELECT acct, {FEATURE_SQL} FROM tx_leg, cut WHERE tx_leg.day < day1 GROUP BY acct")
+@query("k3_account_snapshot", f"SELECT acct, {FEATURE_SQL} FROM account_day, cut WHERE account_day.day < day1 GROUP BY acct")
 def account_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     """A single snapshot filters the payments first; the bound reaches the scan."""
     c = inputs.cuts(spark, folder)
