@@ -40,30 +40,30 @@ def brute(nodes, edges):
     return out
 
 
-def test_four_cycle_degrees(spark):
-    nodes = [(f"t{i}", s, x) for i, (s, x) in enumerate([(1, 1), (1, 2), (2, 1), (2, 2), (3, None), (3, None)])]
-    f = features(spark, nodes, [("t0", "t1"), ("t1", "t2"), ("t2", "t3"), ("t3", "t0")])
-    degrees = [(f[f"t{i}"]["in_degree"], f[f"t{i}"]["out_degree"]) for i in range(6)]
-    assert degrees == [(0, 1), (1, 0), (1, 1), (1, 1), (0, 0), (0, 0)]
-
-
-def test_reciprocity_and_time_since_activity(spark):
-    f = features(spark, [("A", 1, 1), ("B", 2, 2), ("C", 3, 2)], [("A", "B"), ("B", "A"), ("C", "B")])
-    assert [(f[x]["reciprocity"], f[x]["time_since_activity"]) for x in "ABC"] == [(0.0, 0), (1.0, 1), (0.0, 1)]
-
-
-def test_later_edges_do_not_reach_back(spark):
-    nodes = [("H", 30, 1), ("I", 10, 1), ("L", 20, 2), ("U", 25, None), ("T", 35, 2)]
-    f = features(spark, nodes, [(x, "H") for x in "ILUT"])
-    assert f["H"]["ego_illicit_1hop"] == f["H"]["ego_illicit_2hop"] == 1 / 3
-    assert f["T"]["ego_illicit_1hop"] == 1.0
-
-
-def test_bridged_triangles(spark):
-    nodes = [("a1", 1, 1), ("a2", 2, 1), ("a3", 3, 2), ("b1", 1, 2), ("b2", 2, None), ("b3", 3, 2), ("x", 4, 2)]
-    edges = [("a1", "a2"), ("a2", "a3"), ("a3", "a1"), ("b1", "b2"), ("b2", "b3"), ("b3", "b1"), ("a3", "x"), ("x", "b3")]
-    x = features(spark, nodes, edges)["x"]
-    assert (x["in_degree"], x["out_degree"], x["ego_illicit_1hop"], x["ego_illicit_2hop"], x["time_since_activity"]) == (1, 1, 0.0, 2 / 6, 1)
+def test_ladder_by_hand(spark):
+    """Rungs join two rails; every second step is illicit; one rung goes both ways."""
+    nodes = [(f"{rail}{i}", i + 1, 1 if i % 2 else 2) for rail in "pq" for i in range(4)]
+    edges = [(f"{rail}{i}", f"{rail}{i + 1}") for rail in "pq" for i in range(3)]
+    edges += [(f"p{i}", f"q{i}") for i in range(4)] + [("q2", "p2")]
+    got = features(spark, nodes, edges)
+    # p2 knows p1 (illicit) and q2; behind them p0 and q1 (illicit)
+    assert (got["p2"]["in_degree"], got["p2"]["out_degree"], got["p2"]["reciprocity"]) == (2, 1, 2 / 3)
+    assert (got["p2"]["ego_illicit_1hop"], got["p2"]["ego_illicit_2hop"]) == (1 / 2, 2 / 4)
+    assert got["q3"]["time_since_activity"] == 1 and got["p0"]["time_since_activity"] == 0
+    want = brute(nodes, edges)
+    assert all(tuple(r[c] for c in graph.FEATURES) == pytest.approx(want[k]) for k, r in got.items())
+
+
+def test_fountain_sees_only_what_has_happened(spark):
+    """A source pays ten others, two per step; each of them sees the earlier ones."""
+    nodes = [("spring", 1, None)] + [(f"bowl{i}", 1 + i // 2, 1 if i in (0, 3, 8) else 2) for i in range(10)]
+    nodes.append(("dry", 5, 1))
+    got = features(spark, nodes, [("spring", f"bowl{i}") for i in range(10)])
+    assert (got["spring"]["out_degree"], got["spring"]["ego_illicit_1hop"]) == (2, 1 / 2)
+    # bowl9 at step 5: the spring and the nine other bowls, three of them illicit
+    assert (got["bowl9"]["ego_illicit_1hop"], got["bowl9"]["ego_illicit_2hop"]) == (0.0, 3 / 10)
+    assert got["bowl2"]["ego_illicit_2hop"] == 2 / 4 and got["bowl9"]["time_since_activity"] == 4
+    assert got["dry"]["in_degree"] == got["dry"]["out_degree"] == got["dry"]["time_since_activity"] == 0
 
 
 @pytest.mark.parametrize(("seed", "hub_degree"), [(1, 1), (1, 3), (2, 8), (2, 512)])

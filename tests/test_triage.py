@@ -8,96 +8,102 @@ import pytest
 
 from tidewatch.config import TriageConfig
 from tidewatch.errors import DataQualityError
-from tidewatch.operators import accounts, alerts, triage
+from tidewatch.operators import alerts, triage
 
-CFG = TriageConfig(operating_k=100, precision_ks=(4,))
+CFG = TriageConfig(operating_k=3, precision_ks=(2,), curve_depths=(1, 2, 5, 50))
 
+# (scenario, entity, day, model score); rule weights by scenario
+ALERTS = [
+    ("velocity", "harbour", "22", 0.9), ("velocity", "mill", "23", 0.2), ("fan-in", "mill", "23", None),
+    ("fan-in", "quarry", "19", None), ("fan-in", "harbour", "30", 0.1), ("rapid-churn", "depot", "28", 0.5),
+    ("rapid-churn", "kiln", "21", 0.5),
+]
+WEIGHTS = {"velocity": 0.25, "fan-in": 0.75}
 
-def timeline():
-    rows = [
-        ("03 10:00", "A1", "P", 100), ("05 10:00", "A2", "Q", 100),
-        ("09 10:00", "SRC", "P", 5000, {"flag": 1}), ("11 10:00", "SRC2", "Z", 5000, {"flag": 1}),
-        ("11 11:00", "SRC3", "Q", 5000, {"flag": 1}),
-        *[(f"09 {h}:00", "X", "D", 9500) for h in (12, 13, 14)],
-    ]
-    for day, sender, receivers in (("09", "S", "R"), ("11", "B", "C")):
-        rows += [(f"{day} 1{i}:00", sender, f"{receivers}{i}", 20000) for i in range(5)]
-    return rows
 
-
-def alert_frame(spark):
-    rows = [
-        ("fan-out", "S", "concentration", "total_usd=100000.00;window=2022-09-09"),
-        ("fan-out", "Q", "concentration", "total_usd=100000.00;window=2022-09-11"),
-        ("fan-out", "B", "concentration", "total_usd=100000.00;window=2022-09-11"),
-        ("structuring", "X", "band", "total_usd=28500.00;window=2022-09-09"),
-    ]
-    return spark.createDataFrame(rows, "scenario string, entity string, reason string, details string")
+def days_of_trade():
+    """Twenty days from the 11th: cuts at the 23rd and the 27th."""
+    rows = [(f"{d} 08:00", f"buyer{d % 7}", f"seller{d % 5}", 40 + d) for d in range(11, 31)]
+    rows += [("30 09:00", "harbour", "seller1", 10, {"flag": 1}), ("29 07:00", "buyer3", "kiln", 10, {"flag": 1})]
+    rows += [("12 07:00", "mill", "quarry", 10, {"flag": 1})]  # too early to count
+    return rows
 
 
-def stats_frame(spark):
-    return spark.createDataFrame(
-        [("fan-out", 3, 3, 0.5), ("structuring", 1, 1, 0.0)],
-        "scenario string, alert_count long, distinct_entities long, laundering_entity_precision double",
-    )
+def queue_of(spark):
+    rows = [(s, e, "why", f"n=1;window=2022-09-{d}") for s, e, d, _ in ALERTS]
+    staged = triage.check_alerts(spark.createDataFrame(
+        rows, "scenario string, entity string, reason string, details string"))
+    stats = spark.createDataFrame(
+        [(s, 1, 1, w) for s, w in WEIGHTS.items()],
+        "scenario string, alert_count long, distinct_entities long, laundering_entity_precision double")
+    scores = spark.createDataFrame(
+        [(e, date(2022, 9, int(d)), m) for _, e, d, m in ALERTS if m is not None], "acct string, day date, ml_component double")
+    return triage.ranked_queue(triage.fused_alerts(staged, stats, scores, CFG))
 
 
-def build(spark, payments):
-    tx = payments(timeline())
-    staged = triage.check_alerts(alert_frame(spark))
-    asks = staged.selectExpr("entity AS acct", "alert_day AS day")
-    features = accounts.history_features(accounts.daily_profile(tx, CFG), asks)
-    scores = features.selectExpr("acct", "day", "0.7D AS ml_component")
-    fused = triage.fused_alerts(staged, stats_frame(spark), scores, CFG)
-    return tx, triage.ranked_queue(fused)
+def expected_queue():
+    """Entities in order, from the definition of the fused score."""
+    model = {(e, d): m for _, e, d, m in ALERTS if m is not None}
+    best = {}
+    for s, e, d, _ in ALERTS:
+        ml, rule = model.get((e, d)), WEIGHTS.get(s, 0.0)
+        fused = rule if ml is None else CFG.ml_weight * ml + CFG.rule_weight * rule
+        key = (-fused, ml is None, -(ml or 0), e, d, s)
+        best[e, d] = min(best.get((e, d), key), key)
+    return [(k[5], k[3], -k[0]) for k in sorted(best.values())]
 
 
 def test_cut_points_and_meta(payments):
-    tx = payments(timeline())
+    tx = payments(days_of_trade())
     cuts = triage.cut_points(tx, CFG)
-    assert (cuts.day1, cuts.day2, cuts.days_eval) == (date(2022, 9, 8), date(2022, 9, 9), 2)
-    assert triage.triage_meta(tx, CFG).first()["universe"] == 22
+    first, last = date(2022, 9, 11), date(2022, 9, 30)
+    span = (last - first).days
+    assert (cuts.day1 - first).days == round(0.6 * span) and (cuts.day2 - first).days == round(0.8 * span)
+    assert cuts.days_eval == (last - cuts.day2).days
+    names = {x for r in days_of_trade() for x in r[1:3]}
+    assert triage.triage_meta(tx, CFG).first()["universe"] == len(names)
 
 
-def test_queue_and_figures_by_hand(spark, payments):
-    tx, queue = build(spark, payments)
-    rows = queue.orderBy("rank").collect()
-    assert [r["rank"] for r in rows] == [1, 2, 3, 4]
-    fused = [r["fused_score"] for r in rows]
-    assert fused == sorted(fused, reverse=True)
-    bare = [r for r in rows if r["entity"] in ("S", "B")]
-    assert all(r["ml_component"] is None and r["fused_score"] == r["rule_component"] for r in bare)
-    assert rows[0]["entity"] == "Q" and rows[0]["fused_score"] == pytest.approx(0.62)
+def test_queue_follows_the_fused_score(spark):
+    rows = queue_of(spark).orderBy("rank").collect()
+    want = expected_queue()
+    assert [(r["scenario"], r["entity"]) for r in rows] == [(s, e) for s, e, _ in want]
+    assert [r["fused_score"] for r in rows] == pytest.approx([f for _, _, f in want])
+    assert [r["rank"] for r in rows] == list(range(1, len(want) + 1))
 
-    flagged = triage.evaluation_accounts(tx, triage.cut_points(tx, CFG))
-    assert {r["acct"] for r in flagged.collect()} == {"Q", "Z", "SRC2", "SRC3"}
-    kpi = {
-        r["scope"]: r
-        for r in triage.triage_kpi(queue, flagged, triage.triage_meta(tx, CFG), CFG).collect()
-    }
-    whole, fan = kpi["overall"], kpi["fan-out"]
-    assert (whole["alerts_investigated"], whole["true_positives"]) == (4, 1)
-    assert whole["detection_rate"] == 0.25 and whole["false_positive_rate"] == 0.166667
-    assert whole["alerts_per_day"] == 2.0 and whole["investigation_yield"] == 0.25
-    assert whole["precision_at_4"] == 0.25 and whole["cost_per_true_positive"] == 200.0
-    assert (fan["alerts_investigated"], fan["true_positives"]) == (3, 1)
-    assert fan["detection_rate"] == 0.25 and fan["false_positive_rate"] == 0.111111
-    assert fan["investigation_yield"] == fan["precision_at_4"] == 0.3333
-    assert fan["cost_per_true_positive"] == 150.0
-    assert kpi["structuring"]["cost_per_true_positive"] is None
 
+def test_figures_from_their_definitions(spark, payments):
+    tx, queue = payments(days_of_trade()), queue_of(spark)
+    flagged = triage.evaluation_accounts(tx, triage.cut_points(tx, CFG))
+    hits = {r["acct"] for r in flagged.collect()}
+    assert hits == {"harbour", "seller1", "buyer3", "kiln"}
+    meta = triage.triage_meta(tx, CFG)
+    universe, days = meta.first()["universe"], triage.cut_points(tx, CFG).days_eval
+    for depth, cost in ((CFG.operating_k, CFG.cost_per_case), (1, 8.0)):
+        kpi = {r["scope"]: r for r in triage.triage_kpi(queue, flagged, meta, CFG, k=depth, cost=cost).collect()}
+        assert set(kpi) == {"overall", "velocity", "fan-in", "rapid-churn"}
+        for scope, row in kpi.items():
+            listed = [e for s, e, _ in expected_queue() if scope in ("overall", s)][:depth]
+            true = len(set(listed) & hits)
+            assert (row["alerts_investigated"], row["true_positives"]) == (len(listed), true)
+            assert row["detection_rate"] == round(true / len(hits), 4)
+            assert row["false_positive_rate"] == round((len(set(listed)) - true) / (universe - len(hits)), 6)
+            assert row["alerts_per_day"] == round(len(listed) / days, 4)
+            assert row["investigation_yield"] == round(true / len(listed), 4)
+            assert row["cost_per_true_positive"] == (round(len(listed) * cost / true, 2) if true else None)
     curve = {r["k"]: r for r in triage.precision_curve(queue, flagged, CFG).collect()}
-    assert sorted(curve) == [1, 4]
-    assert curve[4]["true_positives"] == 1 and curve[4]["cost_per_true_positive"] == 200.0
+    order = [e for _, e, _ in expected_queue()]
+    for k, row in curve.items():
+        assert row["true_positives"] == sum(e in hits for e in order[:k])
+    assert sorted(curve) == [1, 2, 5, len(order)]
 
 
-def test_same_depth_for_every_scope(spark, payments):
-    tx, queue = build(spark, payments)
-    flagged = triage.evaluation_accounts(tx, triage.cut_points(tx, CFG))
-    rows = triage.triage_kpi(queue, flagged, triage.triage_meta(tx, CFG), CFG, k=1, cost=10.0).collect()
-    assert all(r["alerts_investigated"] == 1 for r in rows)
-    one = triage.what_if(queue, flagged, triage.triage_meta(tx, CFG), "fan-out", 2, 10.0, CFG).collect()
-    assert len(one) == 1 and one[0]["cost_per_true_positive"] == 20.0
+def test_what_if_is_one_row_of_the_figures(spark, payments):
+    tx, queue = payments(days_of_trade()), queue_of(spark)
+    flagged, meta = triage.evaluation_accounts(tx, triage.cut_points(tx, CFG)), triage.triage_meta(tx, CFG)
+    one = triage.what_if(queue, flagged, meta, "velocity", 2, 12.5, CFG).collect()
+    again = triage.triage_kpi(queue, flagged, meta, CFG, k=2, cost=12.5).where("scope = 'velocity'").collect()
+    assert len(one) == 1 and one[0]["cost_per_true_positive"] == again[0]["cost_per_true_positive"]
 
 
 def test_best_alert_per_entity_and_day(spark):
@@ -132,10 +138,11 @@ def test_short_timeline_stops_the_job(payments):
 
 
 def test_scenario_stats(spark, payments):
-    tx = payments([("01 03:00", "A", "B", 9500), ("02 08:00", "A", "B", 9900, {"flag": 1})])
+    tx = payments([("14 03:00", "inn", "brewery", 12), ("15 08:00", "toll", "inn", 7, {"flag": 1})])
+    names = [("fan-in", e) for e in ("inn", "inn", "toll", "brewery", "dock")] + [("velocity", "brewery")]
     frame = spark.createDataFrame(
-        [("structuring", "A", "r", "d"), ("structuring", "A", "r", "e"), ("structuring", "Y", "r", "d")],
+        [(s, e, "r", str(i)) for i, (s, e) in enumerate(names)],
         "scenario string, entity string, reason string, details string",
     )
-    row = alerts.scenario_stats(frame, alerts.flagged_accounts(tx)).first()
-    assert tuple(row) == ("structuring", 3, 2, 0.5)
+    rows = {tuple(r) for r in alerts.scenario_stats(frame, alerts.flagged_accounts(tx)).collect()}
+    assert rows == {("fan-in", 5, 4, 0.5), ("velocity", 1, 1, 0.0)}
