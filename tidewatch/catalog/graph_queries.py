@@ -103,6 +103,12 @@ def ego_illicit_2hop(spark: SparkSession, folder: str) -> DataFrame:
     return graph.two_hop_share(_contacts(spark, folder))
 
 
+@query("n5_ego_illicit_2hop_hubs", "SELECT id, share AS ego_illicit_2hop FROM two_hop")
+def ego_illicit_2hop_hubs(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with a hub limit that most nodes pass."""
+    return graph.two_hop_share(_contacts(spark, folder), hub_degree=3)
+
+
 @query("n6_time_since_activity", "SELECT id, time_since_activity FROM graph_feature")
 def time_since_activity(spark: SparkSession, folder: str) -> DataFrame:
     seen = graph.local_features(_contacts(spark, folder)).select("id", "time_since_activity")

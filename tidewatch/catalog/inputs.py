@@ -26,6 +26,7 @@ RULES = RuleConfig(
     velocity_min_txs=12,
     fan_min_amount=Decimal("300000"),
     community_min_shared=6,
+    community_max_hub_degree=16,
 )
 TRIAGE = TriageConfig()
 SPLIT = SplitConfig()
@@ -153,7 +154,3 @@ def graph_feature_table(spark: SparkSession, folder: str) -> DataFrame:
             nodes(spark, folder), edges(spark, folder), community_table(spark, folder)
         ),
     )
-
-
-def model_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return adapters.model_rows(spark, folder)

@@ -287,21 +287,21 @@ def union_distinct(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "u3_except_distinct",
-    """SELECT 'no inflow' AS side, account FROM
-         (SELECT from_account AS account FROM bank_tx WHERE amount_paid > 104600
-          EXCEPT SELECT to_account FROM bank_tx WHERE amount_paid > 104600)
-       UNION ALL SELECT 'no outflow', account FROM
-         (SELECT to_account AS account FROM bank_tx WHERE amount_paid > 104600
-          EXCEPT SELECT from_account FROM bank_tx WHERE amount_paid > 104600)""",
+    f"""SELECT side, {day('period')} AS period, account FROM (
+         SELECT 'no inflow' AS side, * FROM (SELECT period, from_account AS account FROM period_tx
+                                             EXCEPT SELECT period, to_account FROM period_tx)
+         UNION ALL SELECT 'no outflow', * FROM (SELECT period, to_account FROM period_tx
+                                                EXCEPT SELECT period, from_account FROM period_tx))""",
 )
 def except_distinct(spark: SparkSession, folder: str) -> DataFrame:
-    """Accounts that are on one side only of the largest payments."""
-    large = inputs.tx(spark, folder).filter("amount_paid > 104600")
-    senders = large.select(F.col("from_account").alias("account"))
-    receivers = large.select(F.col("to_account").alias("account"))
+    """Accounts that are on one side only of a period's payments."""
+    stamped = rules.with_period(inputs.tx(spark, folder), RULES)
+    period = day_text("period").alias("period")
+    senders = stamped.select(period, F.col("from_account").alias("account"))
+    receivers = stamped.select(period, F.col("to_account").alias("account"))
     return (
-        senders.subtract(receivers).select(F.lit("no inflow").alias("side"), "account")
-        .unionByName(receivers.subtract(senders).select(F.lit("no outflow").alias("side"), "account"))
+        senders.subtract(receivers).withColumn("side", F.lit("no inflow"))
+        .unionByName(receivers.subtract(senders).withColumn("side", F.lit("no outflow")))
     )
 
 

@@ -161,7 +161,8 @@ def pass_through(tx: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame:
 
 
 def rapid_churn(tx: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame:
-    """Most of a period's inflow leaves again in the same period."""
+    """Most of a period's inflow leaves again in the same period. If the inflow is zero
+    the share kept has no value; the alert says so."""
     flow = pass_through(tx, cfg)
     keep = F.lit(1 - cfg.churn_max_retained)
     fired = flow.filter(F.col("paid_out") >= keep * F.col("received"))
@@ -173,7 +174,7 @@ def rapid_churn(tx: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame:
         [
             ("received_usd", money_text(F.col("received"))),
             ("paid_out_usd", money_text(F.col("paid_out"))),
-            ("retained_pct", F.coalesce(retained, F.lit("-inf"))),
+            ("retained_pct", F.coalesce(retained, F.lit("undefined"))),
         ],
     )
 

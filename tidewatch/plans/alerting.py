@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from typing import Any
 
 from pyspark.ml.functions import vector_to_array
@@ -13,7 +14,7 @@ from tidewatch.learning.matrix import assemble
 from tidewatch.learning.training import fit_booster, scored
 from tidewatch.operators import accounts, alerts, gates, rules, triage
 from tidewatch.operators.metrics import rank_metrics
-from tidewatch.session import materialize
+from tidewatch.session import materialize, replace_table
 from tidewatch.sources.files import open_tables
 
 TX = "bank_transaction"
@@ -21,9 +22,7 @@ TX_HINT = {TX: "ingest the bank files first"}
 
 
 def _write(df: DataFrame, folder: str, name: str) -> DataFrame:
-    path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return replace_table(df, f"{folder}/{name}")
 
 
 def run_rules(spark: SparkSession, folder: str, cfg: RuleConfig = RuleConfig()) -> DataFrame:
@@ -62,7 +61,8 @@ def account_model(
         rows = materialize(_account_rows(snap.withColumnRenamed("label", "y"), ["y"]), "accounts")
         gates.enforce(gates.two_classes(rows, "y", f"{name}_classes"))
         sides.append(rows)
-    model = fit_booster(sides[0], len(accounts.FEATURES), cfg.seeds[0], cfg)
+    # accounts are few: every tree sees all of them
+    model = fit_booster(sides[0], len(accounts.FEATURES), cfg.seeds[0], replace(cfg, subsample=1.0))
     return model, rank_metrics(scored(model, sides[1]))
 
 

@@ -16,7 +16,7 @@ from tidewatch.functions.sampling import seeded_sample
 from tidewatch.learning import attribution, matrix, runs, sage, training
 from tidewatch.operators import communities, drift, gates, graph
 from tidewatch.operators.metrics import base_rate_labelled
-from tidewatch.session import materialize
+from tidewatch.session import materialize, replace_table
 from tidewatch.sources.files import open_tables, path_exists, union_all
 
 BASE = {
@@ -28,9 +28,7 @@ WITH_GRAPH = {**BASE, "graph_features": "run the graph features first"}
 
 
 def _write(df: DataFrame, folder: str, name: str) -> DataFrame:
-    path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return replace_table(df, f"{folder}/{name}")
 
 
 def _nodes(tables: dict[str, DataFrame]) -> DataFrame:

@@ -72,3 +72,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def replace_table(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` beside ``path`` and put it in its place when it is complete, so that
+    a failed job leaves the old table."""
+    spark = df.sparkSession
+    beside = f"{path}.new-{uuid.uuid4().hex}"
+    df.write.parquet(beside)
+    jvm = spark.sparkContext._jvm
+    new, old = jvm.org.apache.hadoop.fs.Path(beside), jvm.org.apache.hadoop.fs.Path(path)
+    store = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.delete(old, True)
+    if not store.rename(new, old):
+        raise OSError(f"{beside} could not be renamed to {path}")
+    return spark.read.schema(df.schema).parquet(path)

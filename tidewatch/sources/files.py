@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.session import replace_table
 from tidewatch.errors import DataQualityError
 from tidewatch.sources import schemas
 
@@ -58,7 +59,7 @@ def bank_transactions(raw: DataFrame) -> DataFrame:
 def export_sorted(df: DataFrame, path: str, order: list[str] | None = None) -> None:
     """Replace a parquet table, rows in one total order. The global sort is a
     range exchange, so files are disjoint, ordered slices of the table."""
-    df.orderBy(*(order or df.columns)).write.mode("overwrite").parquet(path)
+    replace_table(df.orderBy(*(order or df.columns)), path)
 
 
 def content_hash(df: DataFrame) -> DataFrame:
