@@ -13,11 +13,13 @@ from tidewatch.session import configure
 
 # Rows of one Arrow batch. Texts can be long, so a batch holds few of them.
 BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 

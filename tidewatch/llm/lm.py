@@ -45,8 +45,8 @@ from tidewatch.session import materialize
 
 END, BEGIN = b"", b" "  # no word is empty or holds a blank
 SEGMENT_KEYS = 1 << 19  # keys a segment should hold
-FLUSH_TOKENS = 1 << 22  # bigrams a task gathers before it sends them
-CHUNK_CHARS = 4_000_000
+FLUSH_TOKENS = 1 << 21  # bigrams a task gathers before it sends them
+CHUNK_CHARS = 2_000_000
 LEAST_COUNT = 2  # rarer bigrams stay out of the filter
 BASE = 2.0
 BITS_PER_ENTRY = 14
@@ -72,6 +72,17 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return mix64(pd.util.hash_array(values, categorize=False))
 
 
+def _squeeze(values: np.ndarray) -> bytes:
+    """u32 values as byte planes, deflated: planes of small values nearly vanish."""
+    planes = values.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _expand(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+
+
 _BEGIN_HASH = int(_hashes([BEGIN])[0])
 
 
@@ -82,7 +93,6 @@ def chunks(docs: DataFrame, modulus: int, rest: int, chunk_chars: int = CHUNK_CH
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = 0
         part = TaskContext.get().partitionId()
-        pack = zstandard.ZstdCompressor(level=1).compress
         ids: list[int | None] = []
         train: list[bool] = []
         lengths: list[int] = []
@@ -91,13 +101,10 @@ def chunks(docs: DataFrame, modulus: int, rest: int, chunk_chars: int = CHUNK_CH
         chars = 0
 
         def close() -> pa.RecordBatch:
-            hashes = _hashes(list(code))
-            order = np.argsort(hashes, kind="stable")
-            place = np.empty(len(order), dtype=np.uint32)
-            place[order] = np.arange(len(order), dtype=np.uint32)
+            # codes by first appearance: frequent words have small ones
             return as_batch({
                 "chunk": [(part << 32) + number], "doc_ids": [ids], "lengths": [lengths], "train": [train],
-                "words": [hashes[order].tobytes()], "codes": [pack(place[np.array(codes, dtype=np.int64)].tobytes())],
+                "words": [_hashes(list(code)).tobytes()], "codes": [_squeeze(np.array(codes, dtype=np.uint32))],
                 "n_tokens": [len(codes)], "n_words": [len(code)],
             }, _CHUNK)
 
@@ -132,10 +139,9 @@ class _Chunk:
 
     @classmethod
     def of(cls, batch: pa.RecordBatch, i: int) -> _Chunk:
-        raw = zstandard.ZstdDecompressor().decompress(column(batch, "codes")[i].as_py())
         return cls(
             np.frombuffer(column(batch, "words")[i].as_py(), dtype=np.uint64),
-            np.frombuffer(raw, dtype=np.uint32),
+            _expand(column(batch, "codes")[i].as_py()),
             np.array(column(batch, "lengths")[i].as_py(), dtype=np.int64),
             np.array(column(batch, "train")[i].as_py(), dtype=bool),
         )
@@ -172,7 +178,7 @@ def _segment_of(keys: np.ndarray, bits: int) -> np.ndarray:
 
 def unigram_totals(table: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
     """(chunk, totals): counts in the training texts, one u32 per distinct word in the
-    order of the chunk's words; and (n, v): all training tokens, distinct ones."""
+    order of the words' hashes; and (n, v): all training tokens, distinct ones."""
     sent_schema = pa.schema([
         ("segment", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
@@ -182,12 +188,14 @@ def unigram_totals(table: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
                 c = _Chunk.of(batch, i)
                 counts = np.bincount(
                     c.codes, weights=np.repeat(c.train, c.lengths), minlength=len(c.words)).astype(np.uint32)
-                segments, at = _split(c.words, bits)
+                order = np.argsort(c.words)
+                words, counts = c.words[order], counts[order]
+                segments, at = _split(words, bits)
                 key = column(batch, "chunk")[i].as_py()
                 spans = [(int(s), int(a), int(b)) for s, a, b in zip(segments, at, at[1:], strict=False) if b > a]
                 yield as_batch({
                     "segment": [s for s, _, _ in spans], "chunk": [key] * len(spans),
-                    "keys": [c.words[a:b].tobytes() for _, a, b in spans],
+                    "keys": [words[a:b].tobytes() for _, a, b in spans],
                     "counts": [counts[a:b].tobytes() for _, a, b in spans],
                 }, sent_schema)
 
@@ -244,8 +252,10 @@ def bigram_filter(table: DataFrame, bits: int, least: int = LEAST_COUNT, base: f
             counts = counts.astype(np.uint32)
             spans = [(int(s), int(a), int(b)) for s, a, b in zip(segments, at, at[1:], strict=False) if b > a]
             return as_batch({
-                "segment": [s for s, _, _ in spans], "keys": [short[a:b].tobytes() for _, a, b in spans],
-                "counts": [counts[a:b].tobytes() for _, a, b in spans],
+                "segment": [s for s, _, _ in spans],
+                # sorted keys travel as differences
+                "keys": [_squeeze(np.diff(short[a:b], prepend=np.uint32(0))) for _, a, b in spans],
+                "counts": [_squeeze(counts[a:b]) for _, a, b in spans],
             }, sent_schema)
 
         for batch in batches:
@@ -259,8 +269,8 @@ def bigram_filter(table: DataFrame, bits: int, least: int = LEAST_COUNT, base: f
             yield flush()
 
     def build(group: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(k, dtype=np.uint32) for k in group.column("keys").to_pylist()])
-        counts = np.concatenate([np.frombuffer(k, dtype=np.uint32) for k in group.column("counts").to_pylist()])
+        keys = np.concatenate([np.cumsum(_expand(k), dtype=np.uint32) for k in group.column("keys").to_pylist()])
+        counts = np.concatenate([_expand(k) for k in group.column("counts").to_pylist()])
         found, where = np.unique(keys, return_inverse=True)
         total = np.bincount(where, weights=counts, minlength=len(found))
         kept = total >= least
@@ -350,7 +360,8 @@ class _Counts:
 
     @classmethod
     def of(cls, chunk: _Chunk, totals: list[bytes], n: int, v: int, begins: int) -> _Counts:
-        per_word = np.concatenate([np.frombuffer(t, dtype=np.uint32) for t in totals]).astype(np.float64)
+        per_word = np.empty(len(chunk.words))
+        per_word[np.argsort(chunk.words)] = np.concatenate([np.frombuffer(t, dtype=np.uint32) for t in totals])
         count = per_word[chunk.codes]
         context = np.empty_like(count)
         context[1:] = count[:-1]
