@@ -10,12 +10,14 @@ so ``score`` learns in two passes: a first fit on the two grades gives weights;
 toxic rows of the sample are then graded by thirds of their weighted evidence (mild,
 medium, severe), and the final fit orders the four grades with shared weights.
 
-The fit uses a bounded sample of labelled rows (``SAMPLE_PER_CLASS`` per class, those
-with the smallest hash of their id) and the ``FEATURES`` words that tell the classes
+The fit uses a bounded sample of the labelled texts (``SAMPLE_PER_CLASS`` per class, those
+with the smallest hash) and the ``FEATURES`` words that tell the classes
 apart best in it (with a chi-squared of ``LEAST_STRENGTH`` at least), so what reaches the driver is bounded. Everything else covers all rows.
+All labelled texts are counted, and a sampled one stands for as many as its class has
+per sampled text: in the fit, and in the words' strength.
 
 Defined cases: a null text is empty and has no features; labels that are null or of
-absent documents teach nothing; equal texts of the sample teach once; with one class
+absent documents teach nothing; equal texts of a class teach once; with one class
 or no labels every text gets that class's severity (0 without labels); an empty table
 gives no rows. Further columns are ignored.
 """
@@ -83,14 +85,17 @@ class Model:
 
 
 def fit(rows: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, width: int,
-        ridge: float = RIDGE, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+        ridge: float = RIDGE, rounds: int = ROUNDS, stands_for: np.ndarray | None = None,
+        ) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of the cumulative-link model: penalised likelihood by
-    gradient steps with a momentum, thresholds kept in order by positive gaps."""
+    gradient steps with a momentum, thresholds kept in order by positive gaps. A row
+    counts ``stands_for`` times (once by default)."""
+    times = np.ones(len(grades)) if stands_for is None else stands_for
     levels = int(grades.max()) + 1
     where = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     index = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
     value = np.concatenate(values) if values else np.zeros(0)
-    shares = np.array([(grades > j).mean() for j in range(levels - 1)])
+    shares = np.array([times[grades > j].sum() / times.sum() for j in range(levels - 1)])
     cuts = -np.log(shares / (1 - shares))
     first, gaps = cuts[0], np.log(np.maximum(np.diff(cuts), 1e-2))
     theta = np.concatenate([np.zeros(width), [first], gaps])
@@ -104,16 +109,17 @@ def fit(rows: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, wi
         at = np.arange(n)
         prob = np.maximum(padded[at, grades] - padded[at, grades + 1], 1e-12)
         slope = np.hstack([np.zeros((n, 1)), up * (1 - up), np.zeros((n, 1))])
-        d_margin = -(slope[at, grades] - slope[at, grades + 1]) / prob
+        per = times / prob
+        d_margin = -(slope[at, grades] - slope[at, grades + 1]) * per
         d_cut = np.zeros((n, levels + 1))
-        d_cut[at, grades] += slope[at, grades] / prob
-        d_cut[at, grades + 1] -= slope[at, grades + 1] / prob
+        d_cut[at, grades] += slope[at, grades] * per
+        d_cut[at, grades + 1] -= slope[at, grades + 1] * per
         to_cut = d_cut.sum(axis=0)[1:-1]
         later = np.cumsum(to_cut[::-1])[::-1]
         grad = np.concatenate([
             np.bincount(index, weights=d_margin[where] * value, minlength=width) + ridge * w,
             [later[0]], later[1:] * steps,
-        ]) / n
+        ]) / times.sum()
         speed = 0.9 * speed + 0.1 * grad
         square = 0.99 * square + 0.01 * grad * grad
         theta = theta - 0.05 * (speed / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
@@ -121,20 +127,26 @@ def fit(rows: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, wi
     return theta[:width], cut
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, rest: int, per_class: int) -> DataFrame:
-    """text, label of the fit; at most ``per_class`` labels a class."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, rest: int) -> DataFrame:
+    """label, same (a hash of the text), doc_id of each distinct text to learn from."""
     marks = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
         .where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, rest))
         .dropDuplicates(["doc_id"])
     )
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    hashed = texts_of(docs).select("doc_id", F.xxhash64("text").alias("same"))
+    return hashed.join(marks, "doc_id").groupBy("label", "same").agg(F.min("doc_id").alias("doc_id"))
+
+
+def sample(docs: DataFrame, marks: DataFrame, per_class: int) -> DataFrame:
+    """text, label of the fit; at most ``per_class`` texts a class of ``labelled``."""
     chosen = None
     for c in (0, 1):
-        part = marks.where(F.col("label") == c).orderBy(*order).limit(per_class)
+        part = marks.where(F.col("label") == c).orderBy(F.xxhash64("same"), "same").limit(per_class)
         chosen = part if chosen is None else chosen.unionAll(part)
     # at most 2 * per_class rows
-    return texts_of(docs).join(F.broadcast(chosen), "doc_id").select("text", "label")
+    texts = texts_of(docs).withColumn("same", F.xxhash64("text"))
+    return texts.join(F.broadcast(chosen), ["doc_id", "same"]).select("text", "label")
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, rest: int = 0,
@@ -150,7 +162,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
 
         return step
 
-    rows = sample(docs, labels, label, modulus, rest, per_class).withColumn(
+    marks = materialize(labelled(docs, labels, label, modulus, rest), "toxic-labels")
+    whole = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    rows = sample(docs, marks, per_class).withColumn(
         "twin", F.row_number().over(Window.partitionBy(F.xxhash64("text"), "label").orderBy(F.length("text")))
     ).where("twin = 1")
     bags = materialize(
@@ -159,14 +173,18 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
     sizes = {r["label"]: r["n"] for r in bags.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return Model(constant=float(1 in sizes) * GRADES)
+    times = {c: whole[c] / sizes[c] for c in sizes}
     one = F.sum(F.when(F.col("label") == 1, 1).otherwise(0))
     seen = (
         bags.select("label", F.explode("word").alias("word")).groupBy("word")
         .agg(one.alias("a"), F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS)
+        .select("word", (F.col("a") * times[1]).alias("a"),
+                (F.col("a") * times[1] + (F.col("n") - F.col("a")) * times[0]).alias("n"))
     )
-    share = sizes[1] / (sizes[0] + sizes[1])
-    # squared standardised difference from the class share
-    strength = (F.col("a") - F.col("n") * share) ** 2 / (F.col("n") * share * (1 - share))
+    share = whole[1] / (whole[0] + whole[1])
+    # squared standardised difference from the class share; counts of a sample vary more
+    spread = share * (1 - share) * (times[1] * (1 - share) + times[0] * share)
+    strength = (F.col("a") - F.col("n") * share) ** 2 / (F.col("n") * spread)
     best = seen.where(strength >= LEAST_STRENGTH).orderBy(F.desc(strength), "word").limit(features).collect()
     vocabulary = {bytes(r["word"]): i for i, r in enumerate(best)}
 
@@ -186,12 +204,13 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
     index = [np.array(r["at"], dtype=np.int64) for r in kept]
     value = [1 + np.log(np.array(r["n"], dtype=np.float64)) for r in kept]
     label_of = np.array([r["label"] for r in kept])
-    weights, _ = fit(index, value, label_of, len(vocabulary))
+    stands_for = np.array([times[c] for c in label_of])
+    weights, _ = fit(index, value, label_of, len(vocabulary), stands_for=stands_for)
     evidence = np.array([float(weights[i] @ v) for i, v in zip(index, value, strict=True)])
     edges = np.quantile(evidence[label_of == 1], [g / GRADES for g in range(1, GRADES)])
     grades = np.where(label_of == 1, 1 + np.searchsorted(edges, evidence, side="right"), 0)
     levels, grades = np.unique(grades, return_inverse=True)
-    weights, thresholds = fit(index, value, grades, len(vocabulary))
+    weights, thresholds = fit(index, value, grades, len(vocabulary), stands_for=stands_for)
     return Model(vocabulary, weights, thresholds)
 
 
