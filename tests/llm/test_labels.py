@@ -237,6 +237,14 @@ def test_contexts_find_unseen_identifiers(make_docs):
         assert got[i].count("context") == (i % 4 == 0)
 
 
+@pytest.mark.parametrize("end", [". Then", ", and", ".", "", "..", ".\nThen", ".) Then"])
+def test_contexts_find_identifiers_at_the_end_of_a_sentence(make_docs, end):
+    rows = [(i, f"reach me +1 (555) {100 + i}-{1000 + i} now") for i in range(12)] + [(50, "so reach me ext12345" + end)]
+    rows += [(51, "so reach me ext12345.host now"), (52, "so reach me ext12345@host now")]
+    got = {r.doc_id: r.spans for r in pii.report(make_docs(rows)).collect()}
+    assert got[50] == "context:12:20" and got[51] == "" and got[52] == ""
+
+
 def test_redaction(llm):
     from pyspark.sql import functions as F
     df = llm.sql("SELECT 'ab é🙂cd ef' AS t, array(named_struct('s', 3, 'e', 5, 'tag', '<X>'), "

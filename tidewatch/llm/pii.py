@@ -36,7 +36,7 @@ KINDS = {
 }
 CONTEXT = "context"
 CANDIDATE = (
-    r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9][A-Za-z0-9_-]{4,}+(?![A-Za-z0-9@.])"
+    r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9][A-Za-z0-9_-]{4,}+(?!@)(?!\.[A-Za-z0-9])"
 )
 BEFORE = 60  # characters looked at for the two words before a match
 ROUNDS = 3
