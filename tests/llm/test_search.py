@@ -211,5 +211,42 @@ def test_lm_counts_come_back_quantised():
     assert (found >= level).all() and (found != level).mean() < 0.02
 
 
+def test_lm_scores_against_exact_bigram_counts(make_docs):
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(60)]  # most bigrams are seen once
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(25))) for i in range(50)]
+    tokens = {i: words_of(t) + [b""] for i, t in rows}
+    learnt = [ws for i, ws in tokens.items() if not fold(i, 7, 2)]
+    count, pair = Counter(w for ws in learnt for w in ws), Counter(p for ws in learnt for p in zip([b" ", *ws], ws))
+    assert sum(c == 1 for c in pair.values()) > 0.6 * len(pair)
+    n, v = sum(count.values()), len(count)
+    context = count | {b" ": len(learnt)}
+    bucket = lambda before: int(math.log2(context.get(before, 0) + 1))
+    gains = {}
+    for ws in learnt:
+        for before, w in zip([b" ", *ws], ws):
+            own = min(1.0, (pair[before, w] - 1) / max(1.0, context[before] - 1))
+            for a in lm.WEIGHTS:
+                key = bucket(before), a
+                gains[key] = gains.get(key, 0.0) + math.log10((1 - a) + a * own / (count[w] / (n + v)))
+    best = {b: max(lm.WEIGHTS, key=lambda a, b=b: gains[b, a]) for b, _ in gains}
+    assert any(best.values())
+    # levels as narrow as whole numbers, so that only false positives differ
+    got = {r.doc_id: r.score for r in lm.score(make_docs(rows), base=1.09).collect()}
+    for i, ws in tokens.items():
+        want = 0.0
+        for before, w in zip([b" ", *ws], ws):
+            a = best.get(bucket(before), 0.0)
+            own = min(1.0, pair[before, w] / max(1, context.get(before, 0)))
+            want += math.log10(a * own + (1 - a) * (count[w] + 1) / (n + v + 1))
+        assert math.isclose(got[i], want, rel_tol=0.02), (i, got[i], want)
+
+
+def test_lm_level_means():
+    level = lm._levels(np.arange(1, 9), 1, 2.0)
+    assert level.tolist() == [1, 2, 2, 3, 3, 3, 3, 4]
+    assert np.allclose(lm._estimate(np.array([0, 1, 2]), 1, 2.0), [0, 1, 2.4])
+
+
 def test_lm_of_nothing(make_docs):
     assert lm.score(make_docs([])).count() == 0

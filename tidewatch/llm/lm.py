@@ -47,7 +47,7 @@ END, BEGIN = b"", b" "  # no word is empty or holds a blank
 SEGMENT_KEYS = 1 << 19  # keys a segment should hold
 FLUSH_TOKENS = 1 << 21  # bigrams a task gathers before it sends them
 CHUNK_CHARS = 2_000_000
-LEAST_COUNT = 2  # rarer bigrams stay out of the filter
+LEAST_COUNT = 1  # rarer bigrams stay out of the filter
 BASE = 2.0
 BITS_PER_ENTRY = 14
 HASHES = 7
@@ -373,9 +373,17 @@ class _Counts:
 
 
 def _estimate(level: np.ndarray, least: int, base: float) -> np.ndarray:
-    """Mean count of a level if logarithms of counts are spread evenly."""
-    mean = least * base ** (level - 1.0) * (base - 1) / math.log(base)
-    return np.where(level > 0, mean, 0.0)
+    """Mean count of a level if logarithms of counts are spread evenly over its whole
+    numbers; a level of one count has that count."""
+    means = [0.0]
+    for j in range(1, int(level.max(initial=0)) + 1):
+        low, high = (math.ceil(least * base**i - 1e-6) for i in (j - 1, j))
+        if high - low > 1000:  # as good as continuous
+            means.append(least * base ** (j - 1.0) * (base - 1) / math.log(base))
+        else:
+            counts = np.arange(low, max(high, low + 1))
+            means.append(len(counts) / (1 / counts).sum())
+    return np.array(means)[level]
 
 
 def score(
@@ -411,8 +419,8 @@ def score(
                     chunk, c = counted(batch, i)
                     rows = np.flatnonzero(np.repeat(chunk.train, chunk.lengths))
                     covered, level = shard.level(chunk.bigrams()[rows])
-                    # without the token's own occurrence; a count at the edge falls out
-                    rest_ = np.where(level > 1, _estimate(level, least, base) - 1, 0.0)
+                    # without the token's own occurrence; at the filter's edge a count falls out
+                    rest_ = np.where(level > (least > 1), np.maximum(0.0, _estimate(level, least, base) - 1), 0.0)
                     own = np.minimum(1.0, rest_ / np.maximum(1.0, c.context[rows] - 1))
                     ratio = own / np.maximum(c.count[rows] / (n + v), 1e-300)
                     where = c.bucket()[rows]
