@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.catalog import learning_queries
 from tidewatch.config import DriftConfig, IngestConfig, ModelConfig, SplitConfig
 from tidewatch.errors import DataQualityError, SmokeGateError
 from tidewatch.learning import attribution, matrix, training
@@ -125,6 +126,16 @@ def test_attribution_adds_up_and_ranks_the_signal_first(rows, vectors):
     assert ranked[0]["feature"] == "f001" and [r["position"] for r in ranked] == [1, 2, 3, 4]
 
 
+def test_attribution_explains_every_test_row(spark, monkeypatch):
+    step = F.when(F.col("id") < 30_000, SplitConfig().test_min).otherwise(SplitConfig().train_max)
+    rows = spark.range(30_010).select("id", step.alias("step"))
+    monkeypatch.setattr(learning_queries, "_vectors", lambda *_: rows)
+    monkeypatch.setattr(training, "fit_booster", lambda *_: None)
+    monkeypatch.setattr(attribution, "mean_attribution", lambda model, explained, names: explained)
+    assert learning_queries.tree_attribution(spark, "").count() == 30_000
+
+
+
 def test_decisions(spark):
     runs = [
         ("base", 1, 0.50, 0.5), ("base", 2, 0.60, 0.5), ("other", 1, 0.52, 0.5),

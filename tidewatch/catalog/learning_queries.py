@@ -442,8 +442,7 @@ def ablation(spark: SparkSession, folder: str) -> DataFrame:
 def tree_attribution(spark: SparkSession, folder: str) -> DataFrame:
     train, test = matrix.split_temporal(_vectors(spark, folder), SPLIT)
     model = training.fit_booster(train, len(ALL_COLUMNS), MODELS.seeds[0], MODELS)
-    sample = seeded_sample(test, "id", MODELS.attribution_rows, MODELS.seeds[0])
-    return attribution.mean_attribution(model, sample, ALL_COLUMNS)
+    return attribution.mean_attribution(model, test, ALL_COLUMNS)
 
 
 @query("m18_sage_baseline")

@@ -95,7 +95,6 @@ class ModelConfig:
     calibration_folds: int = 3
     min_gain: float = 0.01
     decision_threshold: float = 0.5
-    attribution_rows: int = 20_000
 
 
 @dataclass(frozen=True)

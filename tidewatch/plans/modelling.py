@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from tidewatch.config import DriftConfig, ModelConfig, SplitConfig, fingerprint
 from tidewatch.errors import DataQualityError
-from tidewatch.functions.sampling import seeded_sample
 from tidewatch.learning import attribution, matrix, runs, sage, training
 from tidewatch.operators import communities, drift, gates, graph
 from tidewatch.operators.metrics import base_rate_labelled
@@ -179,10 +178,8 @@ def run_attribution(
     model = _load_model(folder, spark)
     rows, columns = _matrix(tables, True)
     _, test = matrix.split_temporal(rows, split)
-    sample = seeded_sample(
-        matrix.assemble(test, columns, training.KEEP), "id", cfg.attribution_rows, cfg.seeds[0]
-    )
-    return _write(attribution.mean_attribution(model, sample, columns), folder, "attribution")
+    vectors = matrix.assemble(test, columns, training.KEEP)
+    return _write(attribution.mean_attribution(model, vectors, columns), folder, "attribution")
 
 
 def run_sage(
