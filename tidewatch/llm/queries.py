@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontamination, lm, ngram_join, packing, pii, quality, secrets, token_files, topk, toxicity
+from tidewatch.llm import bpe, decontamination, lm, ngram_join, packing, pii, quality, secrets, token_files, topk, toxicity
 from tidewatch.llm.common import prepare, table
 from tidewatch.session import scratch_path
 
@@ -141,6 +141,12 @@ def contaminated(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop("text_key")
 
 
+@query("op11_bpe_lexicon")
+def bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    path = str(public_tokenizers.path(BYTE_VOCABULARY))
+    return bpe.digest(bpe.decode(bpe.encode(table(spark, folder, "documents"), path), path))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
