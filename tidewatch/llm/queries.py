@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, decontamination, lm, ngram_join, packing, pii, quality, secrets, token_files, topk, toxicity
+from tidewatch.llm import bpe, collocations, decontamination, lm, ngram_join, packing, pii, quality, secrets, token_files, topk, toxicity
 from tidewatch.llm.common import prepare, table
 from tidewatch.session import scratch_path
 
@@ -147,6 +147,53 @@ def bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digest(bpe.decode(bpe.encode(table(spark, folder, "documents"), path), path))
 
 
+COLLOCATIONS_SQL = r"""
+WITH words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents)
+), grams AS (
+  SELECT lang, k, g, count(*) AS f
+  FROM (
+    SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS g
+    FROM words, (VALUES (1), (2), (3)) AS sizes (k))
+  GROUP BY lang, k, g
+), totals AS (
+  SELECT lang, sum(f) AS n FROM grams WHERE k = 1 GROUP BY lang
+), cuts AS (
+  SELECT p.lang, p.k, p.g, p.f AS a, x.f AS l, y.f AS r, x.k AS cut,
+         (1000000 * p.f::HUGEINT * p.f::HUGEINT) // (x.f::HUGEINT * y.f::HUGEINT) AS score
+  FROM grams p, (VALUES (1), (2)) AS at (c)
+  JOIN grams x ON x.lang = p.lang AND x.g = p.g[1:c]
+  JOIN grams y ON y.lang = p.lang AND y.g = p.g[c + 1:]
+  WHERE p.k > 1 AND p.f >= 10 AND c < p.k
+), phrases AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1
+), around AS (
+  SELECT lang, part AS g, max(a) AS a
+  FROM (SELECT lang, a, unnest([g[1:2], g[2:3]]) AS part FROM phrases WHERE k = 3)
+  GROUP BY lang, part
+), ranked AS (
+  SELECT p.*, array_to_string(p.g, ' ') AS phrase
+  FROM phrases p LEFT JOIN around o ON o.lang = p.lang AND o.g = p.g
+  WHERE o.a IS NULL OR 100 * o.a < 50 * p.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+       CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n,
+       CAST(score AS BIGINT) AS score
+FROM ranked JOIN totals USING (lang)
+QUALIFY rank <= 2000
+"""
+
+
+@query("op12_collocations", COLLOCATIONS_SQL)
+def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine(table(spark, folder, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
