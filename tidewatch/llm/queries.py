@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, collocations, decontamination, lm, ngram_join, packing, pii, quality, secrets, token_files, topk, toxicity
+from tidewatch.llm import bpe, collocations, decontamination, hard_negatives, lm, ngram_join, packing, pii, quality, secrets, token_files, topk, toxicity
 from tidewatch.llm.common import prepare, table
 from tidewatch.session import scratch_path
 
@@ -166,7 +166,7 @@ WITH words AS (
 ), cuts AS (
   SELECT p.lang, p.k, p.g, p.f AS a, x.f AS l, y.f AS r, x.k AS cut,
          (1000000 * p.f::HUGEINT * p.f::HUGEINT) // (x.f::HUGEINT * y.f::HUGEINT) AS score
-  FROM grams p, (VALUES (1), (2)) AS at (c)
+  FROM grams p, (VALUES (1), (2)) AS split (c)
   JOIN grams x ON x.lang = p.lang AND x.g = p.g[1:c]
   JOIN grams y ON y.lang = p.lang AND y.g = p.g[c + 1:]
   WHERE p.k > 1 AND p.f >= 10 AND c < p.k
@@ -194,6 +194,37 @@ def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.mine(table(spark, folder, "documents"))
 
 
+NEGATIVES_SQL = """
+WITH rows AS (
+  SELECT DISTINCT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, a.v AS anchor, c.vec_id, c.label = a.label AS alike,
+         CAST(coalesce(list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
+  FROM rows a JOIN rows c ON (c.vec_id, c.label, c.v) <> (a.vec_id, a.label, a.v)
+  WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT anchor_id, anchor, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id, anchor ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, positive_score, n.vec_id AS negative_id, n.score AS negative_score,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.anchor, positive_id, positive_score
+                               ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND n.anchor = p.anchor AND NOT n.alike
+  AND 50 * positive_score <= 100 * n.score AND 100 * n.score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
+@query("op13_hard_negatives", NEGATIVES_SQL)
+def mined_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = hard_negatives.participants(table(spark, folder, "embeddings"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)

@@ -40,15 +40,15 @@ SCALE = 256
 _OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
-def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id, v (array of long); only vectors that take part."""
+def quantised(vectors: DataFrame, scale: int = SCALE, *more: Column) -> DataFrame:
+    """vec_id, v (array of long) and ``more``; only vectors that take part."""
     values = F.transform(F.col("embedding"), lambda x: x.cast("double"))
     bad = F.exists(values, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return (
         vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.coalesce(bad, F.lit(False)))
         .select(
             F.col("vec_id").cast("long").alias("vec_id"),
-            F.transform(values, lambda x: F.floor(x * scale).cast("long")).alias("v"),
+            F.transform(values, lambda x: F.floor(x * scale).cast("long")).alias("v"), *more,
         )
     )
 
