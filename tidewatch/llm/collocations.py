@@ -39,6 +39,9 @@ CHUNK_WORDS = 1 << 20
 # Keys that a task holds before it hands its filter on, and keys aimed at in a slice.
 TASK_KEYS = 1 << 22
 SLICE_KEYS = 1 << 20
+# A lang's phrases are ranked in so many shares first; what is left of them, at most the
+# asked number each, is one sort.
+LANG_SHARES = 64
 NO_LANG = "und"
 SCALE = 1_000_000
 
@@ -243,9 +246,11 @@ def mine(
     grams = materialize(count_ngrams(numbered, id_bits, slice_bits, least, task_keys), "phrase-ngrams")
     found = uncovered(materialize(candidates(grams, words), "phrase-candidates"), share)
 
-    # each task keeps its first rows of a lang before any are shuffled
+    # the first rows of each share of a lang, each in a task of its own, then those of the lang
     spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(max(1000, top)))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    best = found.withColumn("share", F.pmod(F.xxhash64("w1", "w2", "w3"), F.lit(LANG_SHARES)))
+    for keys in (["lang", "share"], ["lang"]):
+        order = Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("a"), "phrase")
+        best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return best.join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
