@@ -67,6 +67,13 @@ def as_batch(columns: dict, arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove an intermediate table that nothing reads any more."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def text_list(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

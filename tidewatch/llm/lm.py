@@ -12,8 +12,9 @@ From there:
   up to 1 + floor(log(c / least) / log(base)), under a different hash per level.
   Probing levels until the first miss gives the quantised count back.
 * The filter goes to the workers in shards of at most ``SHARD_BYTES``, one broadcast
-  and one pass per shard; each token needs the one shard its bigram falls into, so the
-  passes add up to the same score, however many shards the corpus needs.
+  after the other. Each bigram of a chunk is laid under the one shard it falls into, so
+  all passes together probe every bigram once, however many shards there are. The
+  levels go back to the chunks, and weights and scores are computed from them.
 
 P(w | v) = a * count(v w) / count(v) + (1 - a) * P1(w), with P1 the add-one unigram
 probability. The weight a depends on the size of count(v) and maximises the likelihood
@@ -24,6 +25,7 @@ null, rows are scored one by one; an empty training part gives counts of 0 (N =
 so an unknown token has probability 1); an empty table gives no rows; a text of any
 length stays whole. Further columns are ignored. Words are told apart by a 64-bit
 hash; two words of a corpus of 10**9 different ones share it with a probability of 3 %.
+Bigrams are told apart within their segment by 32 further bits of their hash.
 """
 
 from __future__ import annotations
@@ -40,8 +42,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import as_batch, column, held_out, mix64, text_list, texts_of, words_of
-from tidewatch.session import materialize
+from tidewatch.llm.common import as_batch, column, discard, held_out, mix64, text_list, texts_of, words_of
+from tidewatch.session import materialize, scratch_path
 
 END, BEGIN = b"", b" "  # no word is empty or holds a blank
 SEGMENT_KEYS = 1 << 19  # keys a segment should hold
@@ -51,7 +53,7 @@ LEAST_COUNT = 1  # rarer bigrams stay out of the filter
 BASE = 2.0
 BITS_PER_ENTRY = 14
 HASHES = 7
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 32 << 20
 WEIGHTS = (0.0, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9)
 BUCKETS = 32
 
@@ -72,20 +74,29 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return mix64(pd.util.hash_array(values, categorize=False))
 
 
-def _squeeze(values: np.ndarray) -> bytes:
-    """u32 values as byte planes, deflated: planes of small values nearly vanish."""
-    planes = values.astype("<u4").view(np.uint8).reshape(-1, 4).T
+def _squeeze(values: np.ndarray, width: int = 4) -> bytes:
+    """Values of ``width`` bytes as byte planes, deflated: planes of small values nearly
+    vanish."""
+    planes = values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def _expand(data: bytes) -> np.ndarray:
+def _expand(data: bytes, width: int = 4) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+    return np.ascontiguousarray(planes.reshape(width, -1).T).view(f"<u{width}").ravel()
 
 
 _BEGIN_HASH = int(_hashes([BEGIN])[0])
 
 
+class _Codes(dict):
+    """Numbers of words in order of appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 def chunks(docs: DataFrame, modulus: int, rest: int, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     fold = F.coalesce(held_out(F.col("doc_id"), modulus, rest), F.lit(False))
     rows = texts_of(docs).withColumn("train", ~fold)
@@ -96,16 +107,16 @@ def chunks(docs: DataFrame, modulus: int, rest: int, chunk_chars: int = CHUNK_CH
         ids: list[int | None] = []
         train: list[bool] = []
         lengths: list[int] = []
-        code: dict[bytes, int] = {}
-        codes: list[int] = []
+        code = _Codes()
+        codes: list[np.ndarray] = []
         chars = 0
 
         def close() -> pa.RecordBatch:
             # codes by first appearance: frequent words have small ones
             return as_batch({
                 "chunk": [(part << 32) + number], "doc_ids": [ids], "lengths": [lengths], "train": [train],
-                "words": [_hashes(list(code)).tobytes()], "codes": [_squeeze(np.array(codes, dtype=np.uint32))],
-                "n_tokens": [len(codes)], "n_words": [len(code)],
+                "words": [_hashes(list(code)).tobytes()], "codes": [_squeeze(np.concatenate(codes))],
+                "n_tokens": [sum(lengths)], "n_words": [len(code)],
             }, _CHUNK)
 
         for batch in batches:
@@ -114,14 +125,14 @@ def chunks(docs: DataFrame, modulus: int, rest: int, chunk_chars: int = CHUNK_CH
             ):
                 words = words_of(text)
                 words.append(END)
-                codes.extend([code.setdefault(w, len(code)) for w in words])
+                codes.append(np.fromiter(map(code.__getitem__, words), "<u4", len(words)))
                 ids.append(key)
                 train.append(learn)
                 lengths.append(len(words))
                 chars += len(text)
                 if chars >= chunk_chars:
                     yield close()
-                    number, ids, train, lengths, code, codes, chars = number + 1, [], [], [], {}, [], 0
+                    number, ids, train, lengths, code, codes, chars = number + 1, [], [], [], _Codes(), [], 0
         if ids:
             yield close()
 
@@ -240,7 +251,7 @@ def bigram_filter(table: DataFrame, bits: int, least: int = LEAST_COUNT, base: f
     """segment, size (bits), part: the segments' pieces of the Bloom filter."""
     sent_schema = pa.schema([("segment", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
     # a segment's bits are implied; 32 further ones tell its bigrams apart
-    shift = np.uint64(32 - bits) if bits < 32 else np.uint64(0)
+    shift = _shift(bits)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -291,63 +302,124 @@ def bigram_filter(table: DataFrame, bits: int, least: int = LEAST_COUNT, base: f
 
 @dataclass
 class Shard:
-    """Some segments of the filter, as one stretch of bytes."""
+    """Consecutive segments of the filter, as one stretch of bytes."""
 
-    bits: int
-    start: np.ndarray  # first byte of a segment, -1 if it lies in another shard
-    size: np.ndarray  # its bits
+    bits: int  # of a segment's number
+    first: int  # its first segment
+    start: np.ndarray  # first byte of each of its segments
+    size: np.ndarray  # their bits
     data: np.ndarray
 
-    def level(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(covered, level): probes of all keys, level after level until they miss."""
-        segment = _segment_of(keys, self.bits)
-        begin = self.start[segment]
-        covered = begin >= 0
-        alive = np.flatnonzero(covered & (self.size[segment] > 0))
-        shift = np.uint64(32 - self.bits) if self.bits < 32 else np.uint64(0)
-        short = ((keys >> shift) & np.uint64(0xFFFFFFFF)).astype(np.uint64)
+    def level(self, keys: np.ndarray) -> np.ndarray:
+        """Level of each key, all of them of this shard: probes until they miss."""
+        segment = _segment_of(keys, self.bits) - self.first
+        alive = np.flatnonzero(self.size[segment] > 0)
+        short = ((keys >> _shift(self.bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint64)
         level = np.zeros(len(keys), dtype=np.int64)
         j = 0
         while len(alive):
             j += 1
-            sizes, first = self.size[segment[alive]].astype(np.uint64), begin[alive]
+            sizes, begin = self.size[segment[alive]].astype(np.uint64), self.start[segment[alive]]
             hit = np.ones(len(alive), dtype=bool)
             for at in _positions(short[alive], j, sizes):
                 rows = np.flatnonzero(hit)
                 if not len(rows):
                     break
                 place = at[rows]
-                byte = self.data[first[rows] + (place >> 3)]
+                byte = self.data[begin[rows] + (place >> 3)]
                 hit[rows] = (byte >> (7 - (place & 7)).astype(np.uint8)) & 1
             alive = alive[hit]
             level[alive] = j
-        return covered, level
+        return level
 
 
-def shards(pieces: DataFrame, bits: int, most: int = SHARD_BYTES) -> Iterator[Shard]:
-    """Shards of at most ``most`` bytes (or one segment), in turn. The list of segments
-    is read first; of the filter itself the driver holds one shard at a time."""
+def shard_starts(pieces: DataFrame, bits: int, most: int = SHARD_BYTES) -> np.ndarray:
+    """First segment of each shard; a shard has at most ``most`` bytes, or one segment.
+    The driver reads the segments' sizes, not the filter."""
     sizes = {r["segment"]: r["size"] for r in pieces.select("segment", "size").collect()}
-    groups: list[list[int]] = [[]]
-    held = 0
+    starts, held = [0], 0
     for segment in range(1 << bits):
         wide = -(-sizes.get(segment, 0) // 8)
-        if groups[-1] and held + wide > most:
-            groups.append([])
+        if held and held + wide > most:
+            starts.append(segment)
             held = 0
-        groups[-1].append(segment)
         held += wide
-    for group in groups:
-        start = np.full(1 << bits, -1, dtype=np.int64)
-        size = np.zeros(1 << bits, dtype=np.int64)
-        rows = pieces.where(F.col("segment").between(group[0], group[-1])).collect()
-        parts, at = [], 0
-        start[group[0] : group[-1] + 1] = 0
-        for r in sorted(rows, key=lambda r: r["segment"]):
-            start[r["segment"]], size[r["segment"]] = at, r["size"]
-            parts.append(np.frombuffer(bytes(r["part"]), dtype=np.uint8))
-            at += len(parts[-1])
-        yield Shard(bits, start, size, np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint8))
+    return np.array(starts, dtype=np.int64)
+
+
+def load_shard(pieces: DataFrame, bits: int, first: int, end: int) -> Shard:
+    """Segments ``first`` to ``end``, exclusive."""
+    start, size = np.zeros(end - first, dtype=np.int64), np.zeros(end - first, dtype=np.int64)
+    parts, at = [], 0
+    found = pieces.where((F.col("segment") >= first) & (F.col("segment") < end)).toArrow()
+    for segment, bits_, part in zip(*(found.column(c) for c in ("segment", "size", "part")), strict=True):
+        place = segment.as_py() - first
+        start[place], size[place] = at, bits_.as_py()
+        parts.append(np.frombuffer(part.as_buffer(), dtype=np.uint8))
+        at += len(parts[-1])
+    return Shard(bits, first, start, size, np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint8))
+
+
+def _shift(bits: int) -> np.uint64:
+    """A bigram is told by its segment's bits and 32 more; the rest of its hash goes."""
+    return np.uint64(max(0, 32 - bits))
+
+
+def bigram_levels(table: DataFrame, pieces: DataFrame, bits: int, starts: np.ndarray) -> DataFrame:
+    """chunk, levels: levels of each chunk's distinct bigrams in the order of their
+    hashes, as one packed part per shard.
+
+    A chunk's distinct bigrams are written once, each under its shard. A shard is
+    broadcast, its own bigrams are probed, the levels are written and the broadcast is
+    destroyed before the next: the driver and each worker hold one shard, and all passes
+    together read the bigrams once, however many shards there are."""
+    spark = table.sparkSession
+    sent_schema = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary())])
+    schema = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("levels", pa.binary())])
+    shift = _shift(bits)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys = np.unique(_Chunk.of(batch, i).bigrams() >> shift)
+                at = np.searchsorted(_segment_of(keys << shift, bits), [*starts, 1 << bits])
+                spans = [(s, a, b) for s, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
+                yield as_batch({
+                    "shard": [s for s, _, _ in spans], "chunk": [column(batch, "chunk")[i].as_py()] * len(spans),
+                    # sorted keys travel as differences
+                    "keys": [_squeeze(np.diff(keys[a:b], prepend=np.uint64(0)), 8) for _, a, b in spans],
+                }, sent_schema)
+
+    def probe(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = [np.cumsum(_expand(k, 8), dtype=np.uint64) for k in column(batch, "keys").to_pylist()]
+                yield as_batch({
+                    "shard": column(batch, "shard"), "chunk": column(batch, "chunk"),
+                    "levels": [_squeeze(shared.value.level(k << shift), 1) for k in keys],
+                }, schema)
+
+        return run
+
+    path = scratch_path(spark, "lm-bigrams")
+    sent = table.select("chunk", "lengths", "train", "words", "codes").mapInArrow(send, "shard long, chunk long, keys binary")
+    sent.write.partitionBy("shard").option("compression", "uncompressed").parquet(path)
+    sent = spark.read.schema("chunk long, keys binary, shard long").parquet(path)
+    target = scratch_path(spark, "lm-levels")
+    for number, (first, end) in enumerate(zip(starts, [*starts[1:], 1 << bits], strict=True)):
+        shared = spark.sparkContext.broadcast(load_shard(pieces, bits, int(first), int(end)))
+        found = sent.where(F.col("shard") == number).mapInArrow(probe(shared), "shard long, chunk long, levels binary")
+        found.write.mode("append").parquet(target)
+        shared.destroy()
+    discard(spark, path)
+    levels = spark.read.schema("shard long, chunk long, levels binary").parquet(target)
+    ordered = F.sort_array(F.collect_list(F.struct("shard", "levels")))
+    return levels.groupBy("chunk").agg(F.transform(ordered, lambda s: s["levels"]).alias("levels"))
+
+
+def _level_of_tokens(chunk: _Chunk, bits: int, packed: list[bytes]) -> np.ndarray:
+    _, where = np.unique(chunk.bigrams() >> _shift(bits), return_inverse=True)
+    return np.concatenate([_expand(part, 1) for part in packed]).astype(np.int64)[where]
 
 
 @dataclass(frozen=True)
@@ -400,88 +472,68 @@ def score(
     totals, whole = unigram_totals(table, _segments(sums["w"] or 0, segment_keys))
     n, v = whole.first()
     bits = _segments(tokens, segment_keys)
-    pieces = materialize(bigram_filter(table, bits, least, base), "lm-filter")
-    joined = table.drop("n_words").join(totals, "chunk")
-
-    def counted(batch: pa.RecordBatch, i: int) -> tuple[_Chunk, _Counts]:
+    filter_path = scratch_path(spark, "lm-filter")
+    bigram_filter(table, bits, least, base).write.parquet(filter_path)
+    pieces = spark.read.schema("segment long, size long, part binary").parquet(filter_path)
+    starts = shard_starts(pieces, bits, shard_bytes)
+    levels = bigram_levels(table, pieces, bits, starts)
+    discard(spark, filter_path)
+    joined = materialize(table.drop("n_words").join(totals, "chunk").join(levels, "chunk"), "lm-counted")
+
+    def counted(batch: pa.RecordBatch, i: int) -> tuple[_Chunk, _Counts, np.ndarray]:
         chunk = _Chunk.of(batch, i)
-        return chunk, _Counts.of(chunk, column(batch, "totals")[i].as_py(), n, v, begins)
+        level = _level_of_tokens(chunk, bits, column(batch, "levels")[i].as_py())
+        return chunk, _Counts.of(chunk, column(batch, "totals")[i].as_py(), n, v, begins), level
 
     grid = np.array(WEIGHTS)
     trial_schema = pa.schema([("bucket", pa.int32()), ("weight", pa.int32()), ("gain", pa.float64())])
 
-    def trial(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shard: Shard = shared.value
-            gain = np.zeros((BUCKETS, len(grid)))
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    chunk, c = counted(batch, i)
-                    rows = np.flatnonzero(np.repeat(chunk.train, chunk.lengths))
-                    covered, level = shard.level(chunk.bigrams()[rows])
-                    # without the token's own occurrence; at the filter's edge a count falls out
-                    rest_ = np.where(level > (least > 1), np.maximum(0.0, _estimate(level, least, base) - 1), 0.0)
-                    own = np.minimum(1.0, rest_ / np.maximum(1.0, c.context[rows] - 1))
-                    ratio = own / np.maximum(c.count[rows] / (n + v), 1e-300)
-                    where = c.bucket()[rows]
-                    for g, a in enumerate(grid):
-                        value = np.log10((1 - a) + a * ratio)
-                        gain[:, g] += np.bincount(where[covered], weights=value[covered], minlength=BUCKETS)
-            yield as_batch({
-                "bucket": np.repeat(np.arange(BUCKETS), len(grid)), "weight": np.tile(np.arange(len(grid)), BUCKETS),
-                "gain": gain.ravel(),
-            }, trial_schema)
-
-        return run
+    def trial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gain = np.zeros((BUCKETS, len(grid)))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                chunk, c, level = counted(batch, i)
+                rows = np.flatnonzero(np.repeat(chunk.train, chunk.lengths))
+                level = level[rows]
+                # without the token's own occurrence; at the filter's edge a count falls out
+                rest_ = np.where(level > (least > 1), np.maximum(0.0, _estimate(level, least, base) - 1), 0.0)
+                own = np.minimum(1.0, rest_ / np.maximum(1.0, c.context[rows] - 1))
+                ratio = own / np.maximum(c.count[rows] / (n + v), 1e-300)
+                where = c.bucket()[rows]
+                for g, a in enumerate(grid):
+                    gain[:, g] += np.bincount(where, weights=np.log10((1 - a) + a * ratio), minlength=BUCKETS)
+        yield as_batch({
+            "bucket": np.repeat(np.arange(BUCKETS), len(grid)), "weight": np.tile(np.arange(len(grid)), BUCKETS),
+            "gain": gain.ravel(),
+        }, trial_schema)
 
     gains = np.zeros((BUCKETS, len(grid)))
-    for shard in shards(pieces, bits, shard_bytes):
-        shared = spark.sparkContext.broadcast(shard)
-        tried = joined.mapInArrow(trial(shared), "bucket int, weight int, gain double")
-        for r in tried.groupBy("bucket", "weight").agg(F.sum("gain").alias("gain")).collect():
-            gains[r["bucket"], r["weight"]] += r["gain"]
-        shared.destroy()
+    tried = joined.mapInArrow(trial, "bucket int, weight int, gain double")
+    for r in tried.groupBy("bucket", "weight").agg(F.sum("gain").alias("gain")).collect():
+        gains[r["bucket"], r["weight"]] += r["gain"]
     chosen = grid[gains.argmax(axis=1)]
 
     out_schema = pa.schema([
-        ("chunk", pa.int64()), ("row", pa.int32()), ("doc_id", pa.int64()), ("held_out", pa.bool_()),
-        ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("part", pa.float64()),
+        ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+        ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()),
     ])
 
-    def scored(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shard: Shard = shared.value
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    chunk, c = counted(batch, i)
-                    covered, level = shard.level(chunk.bigrams())
-                    own = np.minimum(1.0, _estimate(level, least, base) / np.maximum(1.0, c.context))
-                    a = chosen[c.bucket()]
-                    value = np.where(covered, np.log10(a * own + (1 - a) * c.p1), 0.0)
-                    first = chunk.first()
-                    yield as_batch({
-                        "chunk": [column(batch, "chunk")[i].as_py()] * len(first), "row": np.arange(len(first)),
-                        "doc_id": column(batch, "doc_ids")[i].as_py(), "held_out": ~chunk.train,
-                        "n_tokens": chunk.lengths,
-                        "n_known": np.add.reduceat((c.count > 0).astype(np.int64), first),
-                        "base_score": np.add.reduceat(np.log10(c.p1), first),
-                        "part": np.add.reduceat(value, first),
-                    }, out_schema)
-
-        return run
-
-    parts = None
-    for shard in shards(pieces, bits, shard_bytes):
-        shared = spark.sparkContext.broadcast(shard)
-        part = joined.mapInArrow(
-            scored(shared),
-            "chunk long, row int, doc_id long, held_out boolean, n_tokens long, n_known long, "
-            "base_score double, part double",
-        )
-        parts = part if parts is None else parts.unionAll(part)
-    return parts.groupBy("chunk", "row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"),
-        F.first("n_tokens").alias("n_tokens"), F.first("n_known").alias("n_known"),
-        F.first("base_score").alias("base_score"), F.sum("part").alias("score"),
-    ).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
-             "base_score", "score")
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                chunk, c, level = counted(batch, i)
+                own = np.minimum(1.0, _estimate(level, least, base) / np.maximum(1.0, c.context))
+                a = chosen[c.bucket()]
+                first = chunk.first()
+                yield as_batch({
+                    "doc_id": column(batch, "doc_ids")[i].as_py(), "held_out": ~chunk.train,
+                    "n_tokens": chunk.lengths,
+                    "n_known": np.add.reduceat((c.count > 0).astype(np.int64), first),
+                    "train_tokens": [n] * len(first),
+                    "base_score": np.add.reduceat(np.log10(c.p1), first),
+                    "score": np.add.reduceat(np.log10(a * own + (1 - a) * c.p1), first),
+                }, out_schema)
+
+    return joined.mapInArrow(
+        scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+        "base_score double, score double")
