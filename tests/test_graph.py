@@ -6,9 +6,9 @@ import random
 
 import pytest
 
-from tidewatch.errors import DataQualityError
+from tidewatch.errors import ConvergenceError, DataQualityError
 from tidewatch.operators import graph
-from tidewatch.operators.communities import MovingConfig, communities, modularity, undirected
+from tidewatch.operators.communities import MovingConfig, communities, local_moving, modularity, undirected
 
 NODES, EDGES = "id string, step int, label int", "src string, dst string"
 
@@ -103,6 +103,82 @@ def test_two_triangles_are_two_communities(spark):
     assert first == {r["id"]: r["community"] for r in communities(edges.repartition(3)).collect()}
 
 
+def sequential_levels(pairs):
+    """Plain local moving, node by node, and coarsening; the modularity reached."""
+    graph = {}
+    for a, b in {tuple(sorted(p)) for p in pairs}:
+        for u, v in ((a, b), (b, a)):
+            graph.setdefault(u, {})[v] = 1
+    two_m = sum(sum(near.values()) for near in graph.values())
+    reached = -1.0
+    while True:
+        k = {u: sum(near.values()) for u, near in graph.items()}
+        home, total = {u: u for u in graph}, dict(k)
+        moved = True
+        while moved:
+            moved = False
+            for u in graph:
+                links = {}
+                for v, w in graph[u].items():
+                    if v != u:
+                        links[home[v]] = links.get(home[v], 0) + w
+                total[home[u]] -= k[u]
+                gain = {c: w - k[u] * total[c] / two_m for c, w in links.items()}
+                stay = gain.get(home[u], -k[u] * total[home[u]] / two_m)
+                best = max(gain, key=gain.get, default=home[u])
+                if gain.get(best, stay) > stay + 1e-9:
+                    home[u], moved = best, True
+                total[home[u]] += k[u]
+        inside, coarse = 0.0, {}
+        for u, near in graph.items():
+            for v, w in near.items():
+                coarse.setdefault(home[u], {})[home[v]] = coarse.setdefault(home[u], {}).get(home[v], 0) + w
+                inside += w if home[u] == home[v] else 0
+        quality = inside / two_m - sum((t / two_m) ** 2 for t in total.values())
+        if quality <= reached + 1e-7:
+            return reached
+        reached, graph = quality, coarse
+
+
+def chain_with_shortcuts(n):
+    rng = random.Random(8)
+    return [(i, i + 1) for i in range(n)] + [(rng.randrange(n), rng.randrange(n)) for _ in range(n // 8)]
+
+
+def test_communities_match_a_sequential_search(spark):
+    pairs = [(a, b) for a, b in chain_with_shortcuts(600) if a != b]
+    frame = spark.createDataFrame(pairs, "src long, dst long")
+    found = communities(frame)
+    got = modularity(undirected(frame), found).first()[0]
+    assert got > 0.99 * sequential_levels(pairs)
+
+
+def test_no_node_wants_to_move_at_the_end_of_a_level(spark):
+    rng = random.Random(5)
+    pairs = {tuple(sorted((rng.randrange(120), rng.randrange(120)))) for _ in range(500)}
+    pairs |= {(0, i) for i in range(1, 60)}  # a hub
+    pairs = {p for p in pairs if p[0] != p[1]}
+    graph = undirected(spark.createDataFrame(sorted(pairs), "src long, dst long"))
+    state, quality = local_moving(graph, MovingConfig())
+    home = {r["id"]: r["community"] for r in state.collect()}
+    near = {u: [b if a == u else a for a, b in pairs if u in (a, b)] for u in home}
+    total, two_m = {}, 2 * len(pairs)
+    for u, c in home.items():
+        total[c] = total.get(c, 0) + len(near[u])
+    for u, c in home.items():
+        def gain(d, u=u, c=c):
+            links = sum(home[v] == d for v in near[u])
+            return links - len(near[u]) * (total[d] - (len(near[u]) if d == c else 0)) / two_m
+        assert max(gain(home[v]) for v in near[u]) <= gain(c) + 1e-6
+    assert abs(modularity(graph, state).first()[0] - quality) < 1e-9
+
+
+def test_a_search_that_does_not_end_raises(spark):
+    frame = spark.createDataFrame(chain_with_shortcuts(60), "src long, dst long").filter("src <> dst")
+    with pytest.raises(ConvergenceError):
+        communities(frame, MovingConfig(limit=2))
+
+
 def test_communities_beat_singletons_and_the_whole(spark):
     rng = random.Random(3)
     edges = []
@@ -111,7 +187,7 @@ def test_communities_beat_singletons_and_the_whole(spark):
         edges += [(rng.choice(members), rng.choice(members)) for _ in range(30)]
     edges += [(1, 11), (21, 31), (12, 33)]
     frame = spark.createDataFrame(edges, "src long, dst long")
-    found = communities(frame, MovingConfig(rounds=8))
+    found = communities(frame)
     q = modularity(undirected(frame), found).first()[0]
     whole = found.selectExpr("id", "0L AS community")
     assert q > 0.55 and q > modularity(undirected(frame), whole).first()[0]

@@ -9,3 +9,7 @@ class DataQualityError(RuntimeError):
 
 class SmokeGateError(DataQualityError):
     """A baseline model misses the quality floor or the time limit."""
+
+
+class ConvergenceError(RuntimeError):
+    """An iteration passed its limit before it came to rest."""
