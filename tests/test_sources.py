@@ -10,6 +10,7 @@ import pytest
 from tidewatch.config import IngestConfig
 from tidewatch.errors import DataQualityError
 from tidewatch.plans import ingest
+from tidewatch.session import replace_table, swap_folders
 from tidewatch.sources import files, manifest, schemas
 
 HEADER = (
@@ -122,3 +123,45 @@ def test_content_hash_sees_duplicates(spark):
     doubled = frame.unionByName(spark.range(2)).unionByName(spark.range(2))
     assert files.content_hash(frame).first() != files.content_hash(doubled).first()
     assert files.content_hash(frame).first() == files.content_hash(frame.repartition(3)).first()
+
+
+def test_large_files_are_hashed_in_blocks(spark, tmp_path):
+    contents = {"small.csv": b"ab" * 10, "large.csv": bytes(range(256)) * 40, "two words.bin": b"x" * 5000}
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+    found = manifest.hash_files(spark, f"{tmp_path}/*", record_bytes=100, block_bytes=7)
+    want = {(n, len(d), hashlib.sha256(d).hexdigest()) for n, d in contents.items()}
+    assert {tuple(r) for r in found.collect()} == want
+
+
+class FailingStore:
+    """A file system whose second rename fails or raises."""
+
+    def __init__(self, store, error):
+        self.store, self.error, self.renames = store, error, 0
+
+    def rename(self, a, b):
+        self.renames += 1
+        if self.renames == 2:
+            if self.error:
+                raise self.error
+            return False
+        return self.store.rename(a, b)
+
+    def __getattr__(self, name):
+        return getattr(self.store, name)
+
+
+@pytest.mark.parametrize("error", [None, OSError("lost")])
+def test_a_failed_rename_leaves_the_old_table(spark, tmp_path, error):
+    old, new = f"{tmp_path}/t", f"{tmp_path}/t.new"
+    assert replace_table(spark.range(3), old).count() == 3
+    spark.range(5).write.parquet(new)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    paths = [hadoop.Path(p) for p in (new, old, f"{old}.old")]
+    store = paths[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    with pytest.raises(OSError):
+        swap_folders(FailingStore(store, error), *paths)
+    assert spark.read.parquet(old).count() == 3 and spark.read.parquet(new).count() == 5
+    assert replace_table(spark.range(7), old).count() == 7
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["t", "t.new"]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.config import DriftConfig, ModelConfig, SplitConfig, fingerprint
 from tidewatch.errors import DataQualityError
+from tidewatch.functions.cumulative import global_rank
 from tidewatch.learning import attribution, matrix, runs, sage, training
 from tidewatch.operators import communities, drift, gates, graph
 from tidewatch.operators.metrics import base_rate_labelled
@@ -66,16 +67,16 @@ def run_graph_features(
     spark: SparkSession, folder: str, split: SplitConfig = SplitConfig(),
     moving: communities.MovingConfig = communities.MovingConfig(), hub_degree: int = 512,
 ) -> DataFrame:
-    """Write ``graph_features``. A community is named by its smallest node id,
-    hashed to a number because node ids are text; -1 stays free for no community."""
+    """Write ``graph_features``. Communities are numbered from 1 in the order of their
+    smallest node ids, which may be text; -1 stays free for no community."""
     tables = open_tables(spark, folder, WITH_EDGES)
     nodes, edges = materialize(_nodes(tables), "nodes"), _edges(tables)
     gates.enforce(gates.no_rows(graph.dangling_ends(nodes, edges), "dangling_edge"))
     stepped = materialize(graph.edge_steps(nodes, edges), "edge-steps")
     found = communities.communities(graph.inductive_edges(stepped, split.train_max), moving)
-    numbered = found.select(
-        "id", F.pmod(F.xxhash64(F.col("community").cast("string")), F.lit(2**31 - 1)).alias("community")
-    )
+    found = materialize(found, "communities")
+    numbers = global_rank(found.select("community").distinct(), ["community"], "number")
+    numbered = found.join(numbers, "community").select("id", F.col("number").alias("community"))
     features = materialize(graph.graph_features(nodes, edges, numbered, hub_degree), "graph-features")
     gates.enforce(gates.feature_coverage(features, nodes, graph.FEATURES))
     return _write(features, folder, "graph_features")

@@ -75,15 +75,31 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def replace_table(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` beside ``path`` and put it in its place when it is complete, so that
-    a failed job leaves the old table."""
+    """Write ``df`` beside ``path`` and put it in its place when it is complete. The old
+    table steps aside first and comes back if the new one cannot be renamed, so a failed
+    job or rename leaves it whole."""
     spark = df.sparkSession
-    beside = f"{path}.new-{uuid.uuid4().hex}"
-    df.write.parquet(beside)
-    jvm = spark.sparkContext._jvm
-    new, old = jvm.org.apache.hadoop.fs.Path(beside), jvm.org.apache.hadoop.fs.Path(path)
+    number = uuid.uuid4().hex
+    df.write.parquet(f"{path}.new-{number}")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    new, old, aside = (hadoop.Path(p) for p in (f"{path}.new-{number}", path, f"{path}.old-{number}"))
     store = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    store.delete(old, True)
-    if not store.rename(new, old):
-        raise OSError(f"{beside} could not be renamed to {path}")
+    swap_folders(store, new, old, aside)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def swap_folders(store, new, old, aside) -> None:
+    """``new`` takes the place of ``old``, over Hadoop's file system calls."""
+    had = store.exists(old)
+    if had and not store.rename(old, aside):
+        raise OSError(f"{old} could not be moved aside")
+    moved = False
+    try:
+        moved = store.rename(new, old)
+    finally:
+        if had and not moved:
+            store.rename(aside, old)
+    if not moved:
+        raise OSError(f"{new} could not be renamed to {old}")
+    if had:
+        store.delete(aside, True)

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,15 +36,47 @@ def pins_from_manifest(spark: SparkSession, manifest: dict, dataset: str) -> Dat
     return spark.createDataFrame(rows, PIN_SCHEMA)
 
 
-def hash_files(spark: SparkSession, path: str) -> DataFrame:
-    """Name, size and SHA-256 of every file at a path or glob. One file is one
-    record for the reader, which stops at 2 GB; split larger raw files first."""
-    return spark.read.format("binaryFile").load(path).select(
-        F.regexp_extract("path", "[^/]+$", 0).alias("file"),
-        F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
+# Spark's binary reader holds a file in one record, which ends at 2 GB.
+RECORD_BYTES = 1 << 30
+BLOCK_BYTES = 1 << 22
+
+
+def stream_digest(stream, block_bytes: int = BLOCK_BYTES) -> str:
+    """SHA-256 of a file-like object, block by block."""
+    digest = hashlib.sha256()
+    while block := stream.read(block_bytes):
+        digest.update(block)
+    return digest.hexdigest()
+
+
+def hash_files(
+    spark: SparkSession, path: str, record_bytes: int = RECORD_BYTES, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """Name, size and SHA-256 of every file at a path or glob, of any size. Files of at
+    most ``record_bytes`` are hashed as records; larger ones are opened by the task that
+    got their name and read in blocks. The reader lists no empty files: their pins count
+    as missing."""
+    files = spark.read.format("binaryFile").load(path)
+    name = F.regexp_extract("path", "[^/]+$", 0).alias("file")
+    small = files.filter(F.col("length") <= record_bytes).select(
+        name, F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
     )
 
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            digests = []
+            for where in batch["path"]:
+                # Spark writes paths unescaped
+                store, at = FileSystem.from_uri(quote(re.sub("^file:/(?!/)", "file:///", where), safe=":/@"))
+                with store.open_input_stream(at) as stream:
+                    digests.append(stream_digest(stream, block_bytes))
+            yield batch.assign(sha256=digests)[["file", "bytes", "sha256"]]
+
+    # only names and sizes are read here: one row per large file
+    large = files.filter(F.col("length") > record_bytes).select("path", name, F.col("length").alias("bytes"))
+    hashed = large.repartition("path").mapInPandas(read, "file string, bytes long, sha256 string")
+    return small.unionAll(hashed)
+
 
 def check_files(pins: DataFrame, found: DataFrame) -> DataFrame:
     """Status per pinned file: ok, missing, size or checksum."""
