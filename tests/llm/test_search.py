@@ -33,6 +33,7 @@ def test_top_k(llm, scale):
     rows += [(i, rows[3][1]) for i in range(300, 340)]  # ties
     rows += [(400, None), (401, [1.0, None]), (402, [float("nan")]), (403, [float("inf")]), (404, []), (405, [2.0]), (None, [1.0])]
     rows += [(406, [rnd.random() for _ in range(90)])]
+    rows += [rows[50], rows[50]]  # a query that is stored three times asks once
     df = llm.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, score int").repartition(3)
     got = topk.top_k(df, F.col("vec_id") % 50 == 0, candidate_block=32, query_block=3).collect()
     assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == brute_top(rows, 5)

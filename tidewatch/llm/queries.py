@@ -73,7 +73,7 @@ WITH rows AS (
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
          CAST(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
-  FROM rows q JOIN rows c ON c.vec_id <> q.vec_id
+  FROM (SELECT DISTINCT vec_id, v FROM rows) q JOIN rows c ON c.vec_id <> q.vec_id
   WHERE q.vec_id % 50 = 0
 ), ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank

@@ -16,7 +16,8 @@ Defined cases: a vector that is null or holds a null or non-finite component tak
 part; vectors of different lengths meet as if padded with zeros (an empty one scores
 0); ties go to the smaller vec_id; a row with a null vec_id takes no part (it could
 not be named); rows of the query's own vec_id are not its candidates, repeated rows
-of another vec_id each count. Further columns are ignored. An empty table gives no
+of another vec_id each count; a query that is repeated with the same vector asks once.
+Further columns are ignored. An empty table gives no
 rows. Sums that could pass 2**53 are computed on integers of any size, and a score
 beyond the range of long raises.
 """
@@ -126,7 +127,8 @@ def top_k(
     query_groups = max(1, -(-sizes["q"] // query_block))
     rows = rows.withColumn("deal", F.xxhash64("vec_id", "v", F.spark_partition_id()))
     candidates = _blocks(rows, F.pmod("deal", F.lit(groups)), "candidates")
-    asked = _blocks(rows.where(is_query), F.pmod("deal", F.lit(query_groups)), "queries")
+    queries = rows.where(is_query).select("vec_id", "v").distinct()
+    asked = _blocks(queries, F.pmod(F.xxhash64("vec_id", "v"), F.lit(query_groups)), "queries")
     # every query block goes to every candidate group: the stated set against all rows
     everywhere = F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))
     sent = asked.select("queries", F.explode(everywhere).alias("block"))
@@ -138,7 +140,6 @@ def top_k(
                 query_ids, queries = _side(column(batch, "queries")[i])
                 ids, block = _side(column(batch, "candidates")[i])
                 out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-                # a repeated vec_id asks once per row; equal answers are merged later
                 for query_id, best, score in best_of_block(query_ids, queries, ids, block, k):
                     out["query_id"].extend([query_id] * len(best))
                     out["vec_id"].extend(int(x) for x in best)
