@@ -196,18 +196,18 @@ def seed_selection(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "m10_threshold_metrics",
-    """SELECT step, count(*) AS n_eval, CAST(sum(label) AS DOUBLE) / count(*) AS illicit_rate,
+    """SELECT model, seed, step, count(*) AS n_eval, CAST(sum(label) AS DOUBLE) / count(*) AS illicit_rate,
        COALESCE(CAST(tp AS DOUBLE) / NULLIF(called, 0), 0.0) AS precision,
        COALESCE(CAST(tp AS DOUBLE) / NULLIF(sum(label), 0), 0.0) AS recall,
        COALESCE(2.0 * tp / NULLIF(called + sum(label), 0), 0.0) AS f1
-       FROM (SELECT *, count(*) FILTER (WHERE score >= 0.5 AND label = 1) OVER (PARTITION BY step) AS tp,
-                    count(*) FILTER (WHERE score >= 0.5) OVER (PARTITION BY step) AS called
-             FROM plain_score WHERE model = 'informed' AND seed = 42)
-       GROUP BY step, tp, called""",
+       FROM (SELECT *, count(*) FILTER (WHERE score >= 0.5 AND label = 1) OVER (PARTITION BY model, seed, step) AS tp,
+                    count(*) FILTER (WHERE score >= 0.5) OVER (PARTITION BY model, seed, step) AS called
+             FROM plain_score)
+       GROUP BY model, seed, step, tp, called""",
 )
 def threshold_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _plain_scores(spark, folder).filter("model = 'informed' AND seed = 42")
-    return metrics.threshold_metrics(rows, ["step"], MODELS.decision_threshold)
+    rows = _plain_scores(spark, folder)
+    return metrics.threshold_metrics(rows, ["model", "seed", "step"], MODELS.decision_threshold)
 
 
 def _named(frame: DataFrame) -> DataFrame:
