@@ -30,7 +30,7 @@ def test_jobs_in_order(spark, payments, tmp_path):
     with pytest.raises(DataQualityError, match="run alert statistics first"):
         alerting.run_triage(spark, folder)
     alerting.run_alert_stats(spark, folder)
-    models = ModelConfig(boosted_trees=3, min_rows_per_leaf=1, max_depth=2)
+    models = ModelConfig(boosted_trees=3, min_rows_per_leaf=1, leaves=4)
     out = alerting.run_triage(spark, folder, TriageConfig(operating_k=10, precision_ks=(1, 2)), models)
     queue = out["alert_queue"].orderBy("rank").collect()
     fused = [r["fused_score"] for r in queue]

@@ -18,8 +18,8 @@ from tidewatch.plans import ingest, modelling
 
 COLUMNS = [f"f{i:03d}" for i in range(1, 5)]
 CFG = ModelConfig(
-    seeds=(42, 7), boosted_trees=4, forest_trees=12, max_depth=3, min_rows_per_leaf=2, learning_rate=0.3,
-    grid={"max_depth": (2, 3), "learning_rate": (0.3,), "min_rows_per_leaf": (2,), "feature_share": (1.0,)},
+    seeds=(42, 7), boosted_trees=4, forest_trees=12, leaves=6, min_rows_per_leaf=2, learning_rate=0.3,
+    grid={"leaves": (3, 6), "learning_rate": (0.3,), "min_rows_per_leaf": (2,), "feature_share": (1.0,)},
 )
 
 
@@ -121,7 +121,7 @@ def test_attribution_adds_up_and_ranks_the_signal_first(rows, vectors):
     assert total == pytest.approx(margin)
     # the same margin as the model's own probability
     own = [r["probability"][1] for r in model.transform(vectors.filter("id < '00060'")).orderBy("id").collect()]
-    assert own == pytest.approx(list(1 / (1 + np.exp(-2 * margin))))
+    assert own == pytest.approx(list(1 / (1 + np.exp(-margin))))
     ranked = attribution.mean_attribution(model, vectors, COLUMNS).orderBy("position").collect()
     assert ranked[0]["feature"] == "f001" and [r["position"] for r in ranked] == [1, 2, 3, 4]
 
@@ -130,7 +130,7 @@ def test_attribution_explains_every_test_row(spark, monkeypatch):
     step = F.when(F.col("id") < 30_000, SplitConfig().test_min).otherwise(SplitConfig().train_max)
     rows = spark.range(30_010).select("id", step.alias("step"))
     monkeypatch.setattr(learning_queries, "_vectors", lambda *_: rows)
-    monkeypatch.setattr(training, "fit_booster", lambda *_: None)
+    monkeypatch.setattr(training, "fit_seeds", lambda *_: {42: (None, None)})
     monkeypatch.setattr(attribution, "mean_attribution", lambda model, explained, names: explained)
     assert learning_queries.tree_attribution(spark, "").count() == 30_000
 

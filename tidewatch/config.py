@@ -80,18 +80,19 @@ class ModelConfig:
     boosted_trees: int = 400
     learning_rate: float = 0.05
     subsample: float = 0.8
-    max_depth: int = 5
+    leaves: int = 31
     min_rows_per_leaf: int = 20
     feature_share: float = 1.0
     grid: dict[str, tuple[float, ...]] = field(
         default_factory=lambda: {
-            "max_depth": (4, 5, 6),
+            "leaves": (15, 31, 63),
             "learning_rate": (0.05, 0.1),
             "min_rows_per_leaf": (20, 50),
             "feature_share": (0.8, 1.0),
         }
     )
-    early_stop_tolerance: float = 0.01
+    patience: int = 50
+    forest_depth: int = 10
     calibration_folds: int = 3
     min_gain: float = 0.01
     decision_threshold: float = 0.5

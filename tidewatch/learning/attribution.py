@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from math import factorial
-from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -19,6 +18,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.learning.boosting import BoostedModel, Tree
+
 
 @dataclass(frozen=True)
 class LeafPath:
@@ -29,33 +30,29 @@ class LeafPath:
     share: tuple[float, ...]  # product of cover shares of the feature's splits
 
 
-def _walk(node: Any, scale: float, path: dict[int, tuple[float, float, float]]) -> Iterator[LeafPath]:
-    if node.getClass().getSimpleName() == "LeafNode":
+def _walk(tree: Tree, at: str, path: dict[int, tuple[float, float, float]]) -> Iterator[LeafPath]:
+    node = tree[at]
+    if node.feature < 0:
         items = sorted(path.items())
         yield LeafPath(
-            node.prediction() * scale,
+            node.value,
             tuple(f for f, _ in items),
             tuple(v[0] for _, v in items),
             tuple(v[1] for _, v in items),
             tuple(v[2] for _, v in items),
         )
         return
-    feature, threshold = node.split().featureIndex(), node.split().threshold()
-    left, right = node.leftChild(), node.rightChild()
-    covers = left.impurityStats().count(), right.impurityStats().count()
-    low, high, share = path.get(feature, (-np.inf, np.inf, 1.0))
+    covers = tree[at + "0"].cover, tree[at + "1"].cover
+    low, high, share = path.get(node.feature, (-np.inf, np.inf, 1.0))
     total = covers[0] + covers[1]
-    yield from _walk(left, scale, {**path, feature: (low, min(high, threshold), share * covers[0] / total)})
-    yield from _walk(right, scale, {**path, feature: (max(low, threshold), high, share * covers[1] / total)})
+    cut = node.threshold
+    yield from _walk(tree, at + "0", {**path, node.feature: (low, min(high, cut), share * covers[0] / total)})
+    yield from _walk(tree, at + "1", {**path, node.feature: (max(low, cut), high, share * covers[1] / total)})
 
 
-def leaf_paths(model: Any) -> list[LeafPath]:
-    """All leaves of a fitted ensemble, scaled by tree weight; the ensemble's
-    size does not grow with the data."""
-    paths: list[LeafPath] = []
-    for tree, weight in zip(model.trees, model.treeWeights, strict=True):
-        paths.extend(_walk(tree._call_java("rootNode"), float(weight), {}))
-    return paths
+def leaf_paths(model: BoostedModel) -> list[LeafPath]:
+    """All leaves of a fitted ensemble, whose size does not grow with the data."""
+    return [leaf for tree in model.trees for leaf in _walk(tree, "", {})]
 
 
 def base_value(paths: Sequence[LeafPath]) -> float:
@@ -85,7 +82,7 @@ def attributions(paths: Sequence[LeafPath], x: np.ndarray) -> np.ndarray:
     return out
 
 
-def mean_attribution(model: Any, rows: DataFrame, names: Sequence[str]) -> DataFrame:
+def mean_attribution(model: BoostedModel, rows: DataFrame, names: Sequence[str]) -> DataFrame:
     """(feature, mean_abs, position) over rows with a ``features`` vector."""
     paths = rows.sparkSession.sparkContext.broadcast(leaf_paths(model))
     width = len(names)

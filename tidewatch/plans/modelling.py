@@ -6,14 +6,13 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.config import DriftConfig, ModelConfig, SplitConfig, fingerprint
 from tidewatch.errors import DataQualityError
 from tidewatch.functions.cumulative import global_rank
-from tidewatch.learning import attribution, matrix, runs, sage, training
+from tidewatch.learning import attribution, boosting, matrix, runs, sage, training
 from tidewatch.operators import communities, drift, gates, graph
 from tidewatch.operators.metrics import base_rate_labelled
 from tidewatch.session import materialize, replace_table
@@ -124,7 +123,7 @@ def run_challenger(
     ).withColumn("best_seed", F.lit(result.best_seed))
     if trials is not None:
         _write(trials, folder, "tuning_trials")
-    result.models[result.best_seed].write().overwrite().save(f"{folder}/challenger_model")
+    boosting.save(spark, result.models[result.best_seed], f"{folder}/challenger_model")
     _write(result.validation, folder, "challenger_validation")
     written = _write(metrics, folder, "challenger_metrics")
     _record(written, folder, "challenger", split, chosen)
@@ -147,10 +146,10 @@ def run_validation(
     return _write(steps, folder, "validation_metrics")
 
 
-def _load_model(folder: str, spark: SparkSession) -> GBTClassificationModel:
+def _load_model(folder: str, spark: SparkSession) -> boosting.BoostedModel:
     if not path_exists(spark, f"{folder}/challenger_model"):
         raise DataQualityError("challenger_model does not exist; run the challenger first")
-    return GBTClassificationModel.load(f"{folder}/challenger_model")
+    return boosting.load(spark, f"{folder}/challenger_model")
 
 
 def run_drift(

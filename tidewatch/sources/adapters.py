@@ -37,14 +37,17 @@ def bank_tx(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def graph_nodes(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders as transactions on 49 time steps; status F/O/P is the class."""
+    """Orders as transactions on 49 time steps. Status P is the unknown class. Orders of
+    high price and of one lower price band are illicit, which trees see and a line sees
+    in part; every eleventh order has the other class."""
     days = F.datediff(F.to_date("o_orderdate"), F.lit("1995-01-01").cast("date"))
+    price = F.col("o_totalprice")
+    marked = (price >= 400_000) | price.between(100_000, 150_000)
+    turned = F.col("o_orderkey") % 11 == 3
     return table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("id"),
         (1 + F.least(F.lit(48), F.floor(days / 49.1).cast("int"))).alias("step"),
-        F.when(F.col("o_orderstatus") == "F", 1)
-        .when(F.col("o_orderstatus") == "O", 2)
-        .alias("label"),
+        F.when(F.col("o_orderstatus") != "P", F.when(marked != turned, 1).otherwise(2)).alias("label"),
     )
 
 
