@@ -151,6 +151,35 @@ def test_decontamination(llm, make_docs, corpus):
         assert got == want
 
 
+def test_shards_change_no_row_of_the_decontamination(llm, make_docs):
+    """Items of very different lengths, two of one item_id, and repeated documents: the
+    rows and all their figures are those of one shard, and those of a plain search."""
+    rnd = random.Random(12)
+    items = [(i, prose(rnd, n) + ". " + prose(rnd, 6)) for i, n in enumerate([12, 20, 30, 45, 200])]
+    shared = prose(rnd, 30)
+    items += [(70, shared + ". " + prose(rnd, 6)), (70, shared + ". " + prose(rnd, 7)), (71, shared + ". " + prose(rnd, 6))]
+    docs = [(i, prose(rnd, 70) + " " + items[i][1] + " " + prose(rnd, 120)) for i in range(len(items))]
+    docs += [docs[5], docs[5], (90, items[5][1] + " " + prose(rnd, 20) + " " + items[6][1]), (91, prose(rnd, 400))]
+    frame = llm.createDataFrame(items, "item_id long, text string")
+    every = [
+        sorted(tuple(r) for r in decontamination.find(make_docs(docs), frame, shard_chars=n).collect())
+        for n in (10**9, 1200, 500)
+    ]
+    assert every[0] == every[1] == every[2]
+    df = Counter(t for _, text in items for t in set(decontamination.terms_of(words_of(text))))
+    lengths = [len(words_of(t)) for _, t in items]
+    index = decontamination.Index(items, df, len(items), sum(lengths) / len(items))
+    want = []
+    for doc, text in docs:
+        best = {}
+        for number, found in index.verified(words_of(text)).items():
+            best.setdefault(items[number][0], []).append(found)
+        want += [(doc, item, *max(f, key=lambda f: (min(f[1:]), *f))) for item, f in best.items()]
+    assert sorted((r[0], *r[2:]) for r in every[0]) == sorted(want)
+    pairs = Counter((r[0], r[2]) for r in every[0])
+    assert pairs[5, 70] == 3 and pairs[90, 70] == 1 and not any(d == 91 for d, _ in pairs)
+
+
 def test_block_max_wand_finds_what_a_full_scan_finds():
     rnd = random.Random(9)
     items = [(i, " ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 12)))) for i in range(120)]

@@ -11,9 +11,11 @@ is verified in the passage: ``OVERLAP`` of its 5-word shingles must be there, an
 Passages whose terms' largest impacts do not add up to the threshold have no pivot in
 WAND; this is seen for all passages of a text at once, and the others are walked.
 
-The index goes to the workers in shards of items of at most ``SHARD_CHARS`` characters,
-one broadcast and one pass per shard, with document frequencies of all items. So its size is
-bounded and no item is left out.
+The index goes to the workers in shards of about ``SHARD_CHARS`` characters, one pass per
+shard; the hits of a pass are written, and its broadcast is destroyed before the next. A
+shard knows the document frequencies, the mean length and the longest item of the whole
+benchmark, and hits of one document and item_id are joined after all passes, so rows do
+not depend on the number of shards.
 
 Question and answer: the answer is what follows the last sentence end (``.?!`` or a line
 end) inside the item, and at least its last third of words. Shingles that reach into
@@ -21,8 +23,8 @@ the answer belong to it.
 
 Defined cases: items with null or blank text match nothing; an item of fewer than five
 words is one shingle of all of them; null and blank documents match nothing; repeated
-documents and items give a row each, rows of one (document row, item_id) are joined to
-the best; empty tables give no rows. Further columns are ignored.
+documents give a row each; rows of one (document row, item_id) are joined to the best,
+whether the items are equal or only their ids; empty tables give no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,7 +48,7 @@ OVERLAP = 0.75
 PART_OVERLAP = 0.5
 WIDTH = 5
 POSTING_BLOCK = 16
-LEAST_PASSAGE = 96  # words; at least twice the longest item of a shard
+LEAST_PASSAGE = 96  # words; at least twice the longest item of the benchmark
 SHARD_CHARS = 8_000_000
 _SENTENCE = re.compile(r"[.?!]\s+(?=\S)|\n+(?=\S)")
 
@@ -206,8 +208,21 @@ class Index:
         return best
 
 
-def _better(found: tuple[float, float, float]) -> tuple[float, float]:
-    return min(found[1:]), found[0]
+def _better(found: tuple[float, float, float]) -> tuple[float, ...]:
+    return min(found[1:]), *found
+
+
+def _joined(hits: DataFrame) -> DataFrame:
+    """One row per document row and item_id, with the best of all its hits. Equal
+    documents have equal hits, so a pass says how many of them there are."""
+    keys = ["doc_id", "text_key", "item_id"]
+    values = ["bm25_share", "question_overlap", "answer_overlap"]
+    best = F.max(F.struct(F.least(*values[1:]).alias("least"), *values)).alias("best")
+    passes = hits.groupBy(*keys, "shard").agg(best, F.count(F.lit(1)).alias("rows"))
+    joined = passes.groupBy(*keys).agg(F.max("best").alias("best"), F.max("rows").alias("rows"))
+    return joined.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows")))).select(
+        *keys, *[F.col(f"best.{v}").alias(v) for v in values]
+    )
 
 
 _HIT_SCHEMA = (
@@ -236,7 +251,8 @@ def indexes(benchmark: DataFrame, shard_chars: int = SHARD_CHARS, threshold: flo
     items = _items(benchmark)
     count = F.size(F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]++", " ")), " "))
     items = materialize(items.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("n_words", count), "items")
-    sums = items.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c"), F.avg("n_words").alias("w")).first()
+    sums = items.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c"), F.avg("n_words").alias("w"),
+                     F.max("n_words").alias("longest")).first()
     if not sums["n"]:
         return
     shards = -(-sums["c"] // shard_chars)
@@ -249,7 +265,7 @@ def indexes(benchmark: DataFrame, shard_chars: int = SHARD_CHARS, threshold: flo
         counts = {bytes(r["term"]): r["df"] for r in df.join(words, "term", "left_semi").collect()}
         rows = sorted(((r["item_id"], r["text"]) for r in mine.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         if rows:
-            yield Index(rows, counts, sums["n"], sums["w"], threshold)
+            yield Index(rows, counts, sums["n"], sums["w"], threshold, longest=sums["longest"])
 
 
 def find(docs: DataFrame, benchmark: DataFrame, shard_chars: int = SHARD_CHARS, threshold: float = THRESHOLD) -> DataFrame:
@@ -276,8 +292,10 @@ def find(docs: DataFrame, benchmark: DataFrame, shard_chars: int = SHARD_CHARS,
 
         return run
 
-    hits = spark.createDataFrame([], _HIT_SCHEMA)
-    for index in indexes(benchmark, shard_chars, threshold):
+    hits = spark.createDataFrame([], _HIT_SCHEMA + ", shard int")
+    for number, index in enumerate(indexes(benchmark, shard_chars, threshold)):
         shared = spark.sparkContext.broadcast(index)
-        hits = hits.unionAll(rows.mapInArrow(finder(shared), _HIT_SCHEMA))
-    return hits
+        found = rows.mapInArrow(finder(shared), _HIT_SCHEMA).withColumn("shard", F.lit(number))
+        hits = hits.unionAll(materialize(found, "leaks"))
+        shared.destroy()
+    return _joined(hits)
