@@ -245,6 +245,71 @@ def test_contexts_find_identifiers_at_the_end_of_a_sentence(make_docs, end):
     assert got[50] == "context:12:20" and got[51] == "" and got[52] == ""
 
 
+def brute_contexts(rows):
+    """{(doc_id, start, end)} of the bootstrap over all rows, with plain sets."""
+    marks = []
+    for doc_id, text in rows:
+        base = [span for spans in brute_pii(text).values() for span in spans]
+        token = r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9][A-Za-z0-9_-]{4,}(?![A-Za-z0-9_@-])(?!\.[A-Za-z0-9])"
+        others = [m.span() for m in re.finditer(token, text)]
+        others = [(s, e) for s, e in others if not any(s < f and b < e for b, f in base)]
+        for s, e in base + others:
+            # the words since the last match of the same kind, or candidate
+            same = others if (s, e) in others else [x for v in brute_pii(text).values() if (s, e) in v for x in v]
+            piece = text[max((f for _, f in same if f <= s), default=0):s]
+            pattern = re.sub("[0-9]", "0", " ".join(piece.lower().split()[-2:]))
+            marks.append((doc_id, s, e, pattern, text[s:e].lower(), (s, e) in base))
+    behind = {}
+    for _, _, _, pattern, instance, _ in marks:
+        if pattern:
+            behind.setdefault(pattern, set()).add(instance)
+    known = {m[4] for m in marks if m[5] and m[3]}
+    while True:
+        good = [v for v in behind.values() if len(v & known) >= 3 and len(v & known) >= 0.7 * (len(v) + 1)]
+        more = known.union(*good)
+        if more == known:
+            return {m[:3] for m in marks if m[4] in known and not m[5]}
+        known = more
+
+
+def hops():
+    """"mail to" is taught by addresses and finds tickets; the tickets teach "staff
+    number", which finds badges; badges teach nothing, "room no" holds too many unknown."""
+    rows = []
+    rows += [f"please mail to person{i}@mail{i}.org today" for i in range(40)]
+    rows += [f"please mail to ticket{1000 + i} today" for i in range(12)]
+    rows += [f"our staff number ticket{1000 + i} is here" for i in range(12)]
+    rows += [f"our staff number badge{2000 + i}, it says" for i in range(3)]
+    rows += [f"badge{2000 + i}" for i in range(2)] + ["see badge2000 or badge2999 there"]
+    rows += [f"in room no badge{2000 + i}" for i in range(3)] + [f"in room no cell{3000 + i}" for i in range(9)]
+    rows += ["x" * 90 + " " + "y" * 90 + f" word{i}@host.net" for i in range(9)]
+    rows += ["x" * 90 + " " + "y" * 90 + " token12345", "z" * 90 + " " + "y" * 90 + " token99999"]
+    return list(enumerate(rows))
+
+
+def test_found_identifiers_carry_further_patterns(make_docs):
+    rows = hops()
+    got = {r.doc_id: r.spans for r in pii.report(make_docs(rows)).collect()}
+    spans = {(i, *map(int, x.split(":")[1:])) for i, t in got.items() for x in t.split(",") if x.startswith("context")}
+    assert spans == brute_contexts(rows)
+    found = {rows[i][1][s:e] for i, s, e in spans}
+    assert found == {*(f"ticket{1000 + i}" for i in range(12)), *(f"badge{2000 + i}" for i in range(3)), "token12345"}
+    assert sum(1 for i, s, e in spans if rows[i][1][s:e] == "badge2000") == 4
+
+
+def test_no_seed_finds_nothing_and_many_matches_are_placed(make_docs):
+    rows = [(i, f"mail to ticket{1000 + i}") for i in range(5)]
+    assert {r.spans for r in pii.report(make_docs(rows)).collect()} == {""}
+    text = " ".join(f"a{i}@b{i}.org" for i in range(3 * pii.BLOCK + 1))
+    row = pii.report(make_docs([(1, text)])).first()
+    assert row.n_email == 3 * pii.BLOCK + 1
+    assert row.spans == ",".join(f"email:{s}:{e}" for s, e in brute_pii_emails(text))
+
+
+def brute_pii_emails(text):
+    return [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+
+
 def test_redaction(llm):
     from pyspark.sql import functions as F
     df = llm.sql("SELECT 'ab é🙂cd ef' AS t, array(named_struct('s', 3, 'e', 5, 'tag', '<X>'), "

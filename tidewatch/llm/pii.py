@@ -5,17 +5,21 @@ the matches, so that the lengths of pieces and matches give each match's place.
 
 Bootstrapped contextual extraction: every match, and every identifier-like token
 (``CANDIDATE``) outside the matches, is an instance; the two words before it, with
-digits folded, are its lexical pattern. Matches of the fixed kinds are the seeds. The
-bipartite graph of distinct patterns and instances is scored in rounds: a pattern's
-score is the mean of its instances' scores, pulled down by ``DOUBT`` unknown ones; a
-seed's score is 1, another instance's score is that of one of its patterns being right
-(noisy or). A pattern that comes to ``CONFIDENCE``, with ``SUPPORT`` distinct seeds or
-more behind it, reports its further instances as kind ``context``.
+digits folded, are its lexical pattern. Matches of the fixed kinds are the seeds, the
+first known instances. The bipartite graph of distinct patterns and instances is scored
+in rounds: a pattern's score is its known instances over all its instances, pulled down
+by ``DOUBT`` unknown ones. A pattern of score ``CONFIDENCE`` with ``SUPPORT`` distinct
+known instances makes its further instances known, so identifiers found behind one
+pattern carry the next one. Known instances only grow in number; the rounds end when none
+is added. A known identifier is reported wherever it stands outside a match of a fixed
+kind, as kind ``context``.
 
 Defined cases: a null text is empty; rows are handled one by one, whatever their
 doc_id; an empty table gives no rows; further columns are ignored; a match with
 nothing before it has no pattern and takes no part in the graph. The expressions
-neither recurse nor scan a run of characters twice, so a text may be of any length.
+neither recurse nor scan a run of characters twice, so a text may be of any length; only
+its candidates are compared with its matches one by one. Patterns of more than
+``LONG_PATTERN`` characters go by their hash.
 """
 
 from __future__ import annotations
@@ -38,28 +42,40 @@ CONTEXT = "context"
 CANDIDATE = (
     r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9][A-Za-z0-9_-]{4,}+(?!@)(?!\.[A-Za-z0-9])"
 )
-BEFORE = 60  # characters looked at for the two words before a match
-ROUNDS = 3
+LAST_WORDS = r"(?<!\S)(?:\S++\s++)?\S++\s*+\z"
+LONG_PATTERN = 200
+BLOCK = 512  # matches appended to one array before it joins the others
 DOUBT = 1.0
 SUPPORT = 3
 CONFIDENCE = 0.7
 
 
-def _spans(matches: Column, pieces: Column) -> Column:
-    """[start, end, match, text before it] of each match, ends exclusive."""
-    step = F.aggregate(
-        F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("p"), matches.alias("m")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string,b:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(
-                (acc["at"] + F.length(x["p"])).alias("s"),
-                (acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("e"),
-                x["m"].alias("m"), F.right(x["p"], F.lit(BEFORE)).alias("b"),
-            ))).alias("out"),
-        ),
-    )
-    return step["out"]
+def _spans(pairs: str) -> Column:
+    """[start, end, match, words before it] of each (piece, match), ends exclusive. An
+    append copies an array, so the spans are gathered in blocks."""
+    none = F.array().cast("array<struct<s:int,e:int,m:string,b:string>>")
+
+    def one(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["p"])
+        end = start + F.length(x["m"])
+        span = F.struct(
+            start.alias("s"), end.alias("e"), x["m"].alias("m"),
+            F.regexp_extract(x["p"], LAST_WORDS, 0).alias("b"),
+        )
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+    def block(acc: Column, first: Column) -> Column:
+        done = F.aggregate(
+            F.slice(pairs, first, BLOCK), F.struct(acc["at"].alias("at"), none.alias("out")), one,
+            lambda d: F.struct(d["at"].alias("at"), F.array(d["out"]).alias("out")),
+        )
+        return F.transform(F.array(done), lambda d: F.struct(
+            d["at"].alias("at"), F.concat(acc["out"], d["out"]).alias("out")))[0]
+
+    firsts = F.when(F.size(pairs) > 0, F.sequence(F.lit(1), F.size(pairs), F.lit(BLOCK))).otherwise(
+        F.array().cast("array<int>"))
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<s:int,e:int,m:string,b:string>>>").alias("out"))
+    return F.aggregate(firsts, empty, block, lambda acc: F.flatten(acc["out"]))
 
 
 def _digits(text: Column) -> Column:
@@ -103,8 +119,9 @@ def _cut(df: DataFrame, name: str, pattern: str, needs: Column) -> DataFrame:
     hits = f"{name}_hits"
     df = df.withColumn(hits, F.when(needs, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none))
     pieces = F.when(F.size(hits) > 0, F.split("text", pattern, -1)).otherwise(none)
-    df = df.withColumn(f"{name}_pieces", pieces)
-    return df.withColumn(name, _spans(F.col(hits), F.col(f"{name}_pieces"))).drop(hits, f"{name}_pieces")
+    pairs = F.arrays_zip(F.slice(pieces, 1, F.size(hits)).alias("p"), F.col(hits).alias("m"))
+    df = df.withColumn(f"{name}_pairs", pairs)
+    return df.withColumn(name, _spans(f"{name}_pairs")).drop(hits, f"{name}_pairs")
 
 
 def scan(docs: DataFrame, *more: Column, texts: bool = False) -> DataFrame:
@@ -128,43 +145,43 @@ def scan(docs: DataFrame, *more: Column, texts: bool = False) -> DataFrame:
 
 
 def _pattern(before: Column) -> Column:
-    """The last two words, lower-cased, digits as 0; null if there are none."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(before), r"\s++", " ")), " ")
-    last = F.array_join(F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2), " ")
-    return F.nullif(F.regexp_replace(last, "[0-9]", "0"), F.lit(""))
+    """The words before a match, lower-cased, digits as 0; null if there are none."""
+    words = F.trim(F.regexp_replace(F.lower(before), r"\s++", " "))
+    folded = F.regexp_replace(words, "[0-9]", "0")
+    return F.nullif(F.when(F.length(folded) > LONG_PATTERN, F.sha2(folded, 256)).otherwise(folded), F.lit(""))
 
 
 def _occurrences(found: DataFrame) -> DataFrame:
-    """row, s, e, pattern, instance, seed."""
+    """row, s, e, pattern (null if nothing is before it), instance, seed."""
     def named(column: str, seed: bool) -> Column:
         return F.transform(column, lambda x: F.struct(
             x["s"].alias("s"), x["e"].alias("e"), _pattern(x["b"]).alias("pattern"),
             F.lower(x["m"]).alias("instance"), F.lit(seed).alias("seed")))
 
     listed = F.concat(*(named(k, True) for k in KINDS), named("others", False))
-    return found.select("row", F.explode(listed).alias("o")).select("row", "o.*").where(F.col("pattern").isNotNull())
-
-
-def confident_patterns(seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Patterns that qualify, from occurrences. All steps are grouped sums over the
-    distinct (pattern, instance) pairs, combined before they are shuffled."""
-    edges = materialize(seen.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-graph")
-    first = edges.groupBy("instance").agg(F.max("seed").alias("known"))
-    scored = first.select("instance", "known", F.col("known").cast("double").alias("score"))
-    patterns = None
-    for _ in range(rounds):
-        patterns = materialize(
-            edges.join(scored, "instance").groupBy("pattern").agg(
-                (F.sum("score") / (F.count("*") + DOUBT)).alias("belief"),
-                F.sum(F.col("known").cast("int")).alias("seeds")), "pii-patterns")
-        wrong = F.sum(F.log(F.greatest(1 - F.col("belief"), F.lit(1e-9))))
-        again = edges.join(patterns.where(F.col("seeds") > 0), "pattern").groupBy("instance").agg(wrong.alias("w"))
-        scored = materialize(
-            first.join(again, "instance", "left").select(
-                "instance", "known",
-                F.when(F.col("known"), 1.0).otherwise(1 - F.exp(F.coalesce("w", F.lit(0.0)))).alias("score")),
-            "pii-instances")
-    return patterns.where((F.col("belief") >= CONFIDENCE) & (F.col("seeds") >= SUPPORT)).select("pattern")
+    return found.select("row", F.explode(listed).alias("o")).select("row", "o.*")
+
+
+def known_instances(seen: DataFrame) -> DataFrame:
+    """(instance, seed): the seeds and all that confident patterns add, from occurrences.
+    All steps are grouped sums over the distinct (pattern, instance) pairs, combined before
+    they are shuffled. A round without a new instance is the last."""
+    edges = materialize(seen.where(F.col("pattern").isNotNull()).groupBy("pattern", "instance").agg(
+        F.max("seed").alias("seed")), "pii-graph")
+    known = materialize(edges.groupBy("instance").agg(F.max("seed").alias("seed")).where("seed"), "pii-known")
+    number = known.count()
+    while number:
+        score = F.count("seed") / (F.count("*") + DOUBT)
+        confident = edges.select("pattern", "instance").join(known, "instance", "left").groupBy("pattern").agg(
+            score.alias("score"), F.count("seed").alias("support")
+        ).where((F.col("score") >= CONFIDENCE) & (F.col("support") >= SUPPORT))
+        reached = edges.join(confident, "pattern", "left_semi").select("instance", F.lit(False).alias("seed"))
+        known = materialize(
+            known.unionByName(reached).groupBy("instance").agg(F.max("seed").alias("seed")), "pii-known")
+        before, number = number, known.count()
+        if number == before:
+            break
+    return known
 
 
 def _listed(kind: str) -> Column:
@@ -177,8 +194,8 @@ def extract(docs: DataFrame, *more: Column, texts: bool = False) -> DataFrame:
     stored = scan(docs, *more, texts=texts).withColumn("row", F.monotonically_increasing_id())
     stored = materialize(stored, "pii-scan")
     seen = _occurrences(stored)
-    good = confident_patterns(seen)
-    more = seen.where(~F.col("seed")).join(good, "pattern", "left_semi").groupBy("row").agg(
+    known = known_instances(seen)
+    more = seen.where(~F.col("seed")).join(known.select("instance"), "instance", "left_semi").groupBy("row").agg(
         F.sort_array(F.collect_set(F.struct("s", "e"))).alias("found"))
     none = F.array().cast("array<struct<s:int,e:int>>")
     return stored.join(more, "row", "left").withColumn("found", F.coalesce("found", none))
