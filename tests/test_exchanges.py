@@ -81,3 +81,14 @@ def test_triangles_with_accounts_above_the_light_degree(spark, monkeypatch):
         monkeypatch.setattr(cycles, "LIGHT_DEGREE", light)
         found = find_cycles(pairs, RuleConfig(cycle_lengths=(3,), exclude_self_loops=True)).collect()
         assert {r["path"] for r in found} == {"->".join(f"A{n:02d}" for n in (*w, w[0])) for w in want}
+
+
+def test_raw_files_are_packed_and_read_back(spark, tmp_path, monkeypatch):
+    from tidewatch.catalog import scan_queries
+
+    monkeypatch.setattr(scan_queries, "scratch_path", lambda spark, label: str(tmp_path / label))
+    rows = spark.createDataFrame([("1", "a"), ("2", "b")], "txId string, class string").repartition(2)
+    path = scan_queries._raw_file(spark, str(tmp_path), "packed", rows, True)
+    found = [f.name for f in (tmp_path / "raw-packed").glob("part-*")]
+    assert found and all(name.endswith(".csv.gz") for name in found)
+    assert sorted(tuple(r) for r in spark.read.option("header", "true").csv(path).collect()) == [("1", "a"), ("2", "b")]

@@ -19,11 +19,12 @@ _RAW: dict[tuple[str, str, str], str] = {}
 
 
 def _raw_file(spark: SparkSession, folder: str, name: str, df: DataFrame, header: bool) -> str:
-    """CSV folder, written once per application and source folder."""
+    """CSV folder, written once per application and source folder. Packed, as each task
+    writes a file that one task can read again."""
     key = (spark.sparkContext.applicationId, folder, name)
     if key not in _RAW:
         path = scratch_path(spark, f"raw-{name}")
-        df.write.option("header", str(header).lower()).csv(path)
+        df.write.option("header", str(header).lower()).option("compression", "gzip").csv(path)
         _RAW[key] = path
     return _RAW[key]
 
