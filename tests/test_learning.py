@@ -101,6 +101,23 @@ def test_walk_forward_covers_every_step_and_refuses_leaks(vectors):
         training.walk_forward(short, len(COLUMNS), cfg=CFG, train_rows=lambda df, t: df.limit(0))
 
 
+def test_walk_forward_moves_a_row_once_and_a_splitter_of_the_same_rows_changes_nothing(vectors, monkeypatch):
+    short, moved, grow = vectors.filter("step <= 37"), [], training.grow
+
+    def counted(rows, *args, **more):
+        moved.append(rows.count())
+        return grow(rows, *args, **more)
+
+    monkeypatch.setattr(training, "grow", counted)
+    one, two = (
+        sorted(tuple(r) for r in training.walk_forward(short, len(COLUMNS), cfg=CFG, train_rows=t).collect())
+        for t in (training.rows_before, lambda df, t: df.filter(F.col("step") < t))
+    )
+    assert moved == [short.count(), short.filter("step < 35").count() * 3 + short.filter("step = 35").count() * 2
+                     + short.filter("step = 36").count()]
+    assert one == two
+
+
 def test_calibrated_scores_are_probabilities(vectors):
     model = training.fit_calibrated(vectors.filter("step <= 34"), len(COLUMNS), 42, CFG)
     got = model.scores(vectors.filter("step > 34")).agg(F.count("*"), F.min("score"), F.max("score")).first()
