@@ -118,6 +118,18 @@ def test_walk_forward_moves_a_row_once_and_a_splitter_of_the_same_rows_changes_n
     assert one == two
 
 
+def test_baselines_fit_on_every_core(spark, rows, monkeypatch):
+    used, fit = [], training.fit_forest
+
+    def counted(train, *args):
+        used.append(train.groupBy(F.spark_partition_id()).count().count())
+        return fit(train, *args)
+
+    monkeypatch.setattr(training, "fit_forest", counted)
+    training.baselines(rows.coalesce(1), COLUMNS, cfg=replace(CFG, seeds=(42,)))
+    assert used == [spark.sparkContext.defaultParallelism]
+
+
 def test_calibrated_scores_are_probabilities(vectors):
     model = training.fit_calibrated(vectors.filter("step <= 34"), len(COLUMNS), 42, CFG)
     got = model.scores(vectors.filter("step > 34")).agg(F.count("*"), F.min("score"), F.max("score")).first()
