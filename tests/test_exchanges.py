@@ -92,3 +92,13 @@ def test_raw_files_are_packed_and_read_back(spark, tmp_path, monkeypatch):
     found = [f.name for f in (tmp_path / "raw-packed").glob("part-*")]
     assert found and all(name.endswith(".csv.gz") for name in found)
     assert sorted(tuple(r) for r in spark.read.option("header", "true").csv(path).collect()) == [("1", "a"), ("2", "b")]
+
+
+def test_payments_are_sorted_once_for_six_scenarios_and_their_sums_stay_exact(payments):
+    most = "9999999999999999.99"
+    rows = [(f"{day:02d} 06:00", "K", "M", most) for day in range(1, 13)] + [("13 06:00", "M", "K", 5)]
+    seen = rules.entity_periods(payments(rows), RuleConfig(window="month", community_max_hub_degree=4))
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    assert len([line for line in plan.splitlines() if " Sort [" in line]) == 1
+    got = {r["entity"]: (str(r["out_total"]), r["txs"], r["out_partners"], r["partners"]) for r in seen.collect()}
+    assert got == {"K": ("119999999999999999.88", 12, 1, None), "M": ("5.00", 1, 1, None)}
