@@ -102,3 +102,15 @@ def test_payments_are_sorted_once_for_six_scenarios_and_their_sums_stay_exact(pa
     assert len([line for line in plan.splitlines() if " Sort [" in line]) == 1
     got = {r["entity"]: (str(r["out_total"]), r["txs"], r["out_partners"], r["partners"]) for r in seen.collect()}
     assert got == {"K": ("119999999999999999.88", 12, 1, None), "M": ("5.00", 1, 1, None)}
+
+
+def test_a_profile_in_the_making_does_not_move_again_for_histories(spark, payments):
+    profile = accounts.daily_profile(payments([("07 06:00", "K", "M", 5), ("08 06:00", "M", "K", 5)]))
+    asks = spark.createDataFrame([("K", d) for d in (7, 8, 9)] + [("M", 8)], "acct string, d int").select(
+        "acct", F.make_date(F.lit(2022), F.lit(9), F.col("d")).alias("day")
+    )
+    history = accounts.history_features(profile, asks.unionAll(asks))
+    # one for the legs, one for the asked days
+    assert exchanges(history) == 2
+    got = {(r["acct"], str(r["day"]), r["tx_in_count"], r["amount_out_total"]) for r in history.collect()}
+    assert got == {("K", "2022-09-08", 0, 5.0), ("K", "2022-09-09", 1, 5.0), ("M", "2022-09-08", 1, 0.0)}
