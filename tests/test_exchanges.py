@@ -114,3 +114,24 @@ def test_a_profile_in_the_making_does_not_move_again_for_histories(spark, paymen
     assert exchanges(history) == 2
     got = {(r["acct"], str(r["day"]), r["tx_in_count"], r["amount_out_total"]) for r in history.collect()}
     assert got == {("K", "2022-09-08", 0, 5.0), ("K", "2022-09-09", 1, 5.0), ("M", "2022-09-08", 1, 0.0)}
+
+
+def test_lines_meet_at_their_order_before_they_are_summed(spark, tmp_path):
+    from tidewatch.sources.adapters import NODE_FEATURES, graph_vectors
+
+    lines = "l_orderkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+    rows = [(1, 2.0, 10.1, 0.1, 0.02, "R", "O"), (1, 3.0, 20.2, 0.2, 0.03, "N", "F"), (2, 1.0, 5.05, 0.0, 0.0, "R", "F")]
+    spark.createDataFrame(rows, lines).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(1, 9.5), (2, 8.5), (3, 7.5)], "o_orderkey long, o_totalprice double").write.parquet(
+        str(tmp_path / "orders.parquet")
+    )
+    vectors = graph_vectors(spark, str(tmp_path))
+    plan = vectors._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(plan) if "Exchange hashpartitioning(l_orderkey" in line)
+    assert "HashAggregate" not in plan[at + 1]
+    got = {r["id"]: [r[c] for c in NODE_FEATURES] for r in vectors.collect()}
+    assert got == {
+        1: [9.5, 2.0, 5.0, 30.3, 0.3 / 2, 0.05 / 2, 1.0, 1.0],
+        2: [8.5, 1.0, 1.0, 5.05, 0.0, 0.0, 1.0, 0.0],
+        3: [7.5] + [0.0] * 7,
+    }
