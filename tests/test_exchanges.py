@@ -135,3 +135,13 @@ def test_lines_meet_at_their_order_before_they_are_summed(spark, tmp_path):
         2: [8.5, 1.0, 1.0, 5.05, 0.0, 0.0, 1.0, 0.0],
         3: [7.5] + [0.0] * 7,
     }
+
+
+def test_transfers_meet_in_the_exchange_and_their_sums_stay_exact(payments):
+    most = "9999999999999999.99"
+    legs = rules.with_period(payments([(f"{day:02d} 06:00", "K", "M", most) for day in range(1, 13)]), RuleConfig(window="month"))
+    pairs = cycles.transfer_pairs(legs.withColumn("amt", F.col("amount_paid")))
+    plan = pairs._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(plan) if "Exchange hashpartitioning(period" in line)
+    assert "HashAggregate" not in plan[at + 1]
+    assert [(str(r["forward"]), r["backward"]) for r in pairs.collect()] == [("119999999999999999.88", None)]
