@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from datetime import datetime
 
@@ -11,7 +12,7 @@ from tidewatch.config import IngestConfig
 from tidewatch.errors import DataQualityError
 from tidewatch.plans import ingest
 from tidewatch.session import replace_table, swap_folders
-from tidewatch.sources import files, manifest, schemas
+from tidewatch.sources import chained, files, manifest, schemas
 
 HEADER = (
     "Timestamp,From Bank,Account,To Bank,Account,Amount Received,Receiving Currency,"
@@ -134,6 +135,64 @@ def test_large_files_are_hashed_in_blocks(spark, tmp_path):
     assert {tuple(r) for r in found.collect()} == want
 
 
+def digests_of(folder):
+    return {(p.name, p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in folder.iterdir()}
+
+
+def test_no_task_reads_more_than_a_part(spark, tmp_path, monkeypatch):
+    sizes = {
+        "prime.bin": 100_003, "whole parts.bin": 8192, "part and a byte.bin": 4097, "a,b{c}[d].bin": 5000,
+        "back\\slash.bin": 4500, "record.bin": 4096, "blocks.bin": 4096 + 3 * 64, "slop.bin": 4505,
+    }
+    for name, size in sizes.items():
+        (tmp_path / name).write_bytes(hashlib.shake_128(name.encode()).digest(size))
+    read, one_round = [], chained._round
+
+    def counted(spark, blocks, turn, single):
+        before = {index: chain.at for index, chain in turn.items()}
+        one_round(spark, blocks, turn, single)
+        read.extend(chain.at - before[index] for index, chain in turn.items())
+
+    monkeypatch.setattr(chained, "_round", counted)
+    found = manifest.hash_files(spark, f"{tmp_path}/*", record_bytes=4096, block_bytes=64, part_bytes=4096)
+    assert {tuple(r) for r in found.collect()} == digests_of(tmp_path)
+    assert max(read) == 4096 and sum(read) == sum(n for n in sizes.values() if n > 4096)
+
+
+def test_large_files_are_read_through_spark(spark, tmp_path):
+    """A store that only Hadoop knows."""
+    for name, size in {"small.bin": 90, "large.bin": 5003}.items():
+        (tmp_path / name).write_bytes(hashlib.shake_128(name.encode()).digest(size))
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.pins.link./in", f"file://{tmp_path}")
+    found = manifest.hash_files(spark, "viewfs://pins/in/*", record_bytes=100, block_bytes=64)
+    assert {tuple(r) for r in found.collect()} == digests_of(tmp_path)
+
+
+@pytest.mark.parametrize("limit", [100, 1 << 30])
+def test_packed_files_are_hashed_as_they_are(spark, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr(manifest, "PACKED_BYTES", limit, raising=False)
+    (tmp_path / "a [1].csv.gz").write_bytes(gzip.compress(hashlib.shake_128(b"x").digest(3000)))
+    (tmp_path / "b.csv").write_bytes(b"plain" * 100)
+    found = manifest.hash_files(spark, f"{tmp_path}/*", record_bytes=100)
+    assert {tuple(r) for r in found.collect()} == digests_of(tmp_path)
+
+
+def test_without_a_state_to_hand_on_files_are_hashed_whole(spark, tmp_path, monkeypatch):
+    (tmp_path / "large.bin").write_bytes(b"plain" * 1000)
+    monkeypatch.setattr(chained, "can_chain", lambda: False)
+    found = manifest.hash_files(spark, f"{tmp_path}/*", record_bytes=100)
+    assert {tuple(r) for r in found.collect()} == digests_of(tmp_path)
+
+
+def test_a_file_that_changes_is_refused(spark, tmp_path):
+    path = tmp_path / "large.bin"
+    path.write_bytes(b"x" * 5000)
+    for length in (4000, 6000, 9000):
+        with pytest.raises(DataQualityError, match="changed"):
+            chained.chained_digests(spark, {f"file:{path}": length}, 4096, 64)
+
+
 class FailingStore:
     """A file system whose second rename fails or raises."""
 

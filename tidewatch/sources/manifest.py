@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.errors import DataQualityError
+from tidewatch.sources import chained
 
 PIN_SCHEMA = T.StructType(
     [
@@ -36,9 +37,11 @@ def pins_from_manifest(spark: SparkSession, manifest: dict, dataset: str) -> Dat
     return spark.createDataFrame(rows, PIN_SCHEMA)
 
 
-# Spark's binary reader holds a file in one record, which ends at 2 GB.
-RECORD_BYTES = 1 << 30
-BLOCK_BYTES = 1 << 22
+# Spark's binary reader holds a file in one record; a longer file is read in parts.
+RECORD_BYTES = chained.PART_BYTES
+# The most one record is used for: the reader ends at 2 GB.
+PACKED_BYTES = 1 << 30
+BLOCK_BYTES = chained.BLOCK_BYTES
 
 
 def stream_digest(stream, block_bytes: int = BLOCK_BYTES) -> str:
@@ -49,18 +52,39 @@ def stream_digest(stream, block_bytes: int = BLOCK_BYTES) -> str:
     return digest.hexdigest()
 
 
+def _by_record(files: DataFrame) -> DataFrame:
+    return files.select(
+        F.regexp_extract("path", "[^/]+$", 0).alias("file"), F.col("length").alias("bytes"),
+        F.sha2("content", 256).alias("sha256"),
+    )
+
+
 def hash_files(
-    spark: SparkSession, path: str, record_bytes: int = RECORD_BYTES, block_bytes: int = BLOCK_BYTES
+    spark: SparkSession, path: str, record_bytes: int = RECORD_BYTES, block_bytes: int = BLOCK_BYTES,
+    part_bytes: int = chained.PART_BYTES,
 ) -> DataFrame:
     """Name, size and SHA-256 of every file at a path or glob, of any size. Files of at
-    most ``record_bytes`` are hashed as records; larger ones are opened by the task that
-    got their name and read in blocks. The reader lists no empty files: their pins count
-    as missing."""
+    most ``record_bytes`` are hashed as records when the result is read; larger ones now, in
+    parts of about ``part_bytes``, each by its own task. The reader lists no empty files:
+    their pins count as missing."""
     files = spark.read.format("binaryFile").load(path)
-    name = F.regexp_extract("path", "[^/]+$", 0).alias("file")
-    small = files.filter(F.col("length") <= record_bytes).select(
-        name, F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
+    # only names and sizes are read here: one row per large file
+    large = files.filter(F.col("length") > record_bytes).select("path", "length")
+    sizes = {r["path"]: r["length"] for r in large.collect()}
+    whole = {p: n for p, n in sizes.items() if not chained.can_chain() or chained.is_packed(spark, p)}
+    digests = chained.chained_digests(
+        spark, {p: n for p, n in sizes.items() if p not in whole}, part_bytes, block_bytes
     )
+    rows = [(re.search("[^/]+$", p)[0], sizes[p], digest) for p, digest in digests.items()]
+    found = _by_record(files.filter(F.col("length") <= record_bytes))
+    if rows:
+        found = found.unionAll(spark.createDataFrame(rows, PIN_SCHEMA))
+    return found.unionAll(_hash_whole(spark, whole, block_bytes)) if whole else found
+
+
+def _hash_whole(spark: SparkSession, sizes: dict[str, int], block_bytes: int) -> DataFrame:
+    """Files by one task each: Hadoop's readers would unpack them by their name, or Python's
+    OpenSSL keeps its state to itself. Longer ones than a record are opened by the task."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -68,14 +92,17 @@ def hash_files(
             for where in batch["path"]:
                 # Spark writes paths unescaped
                 store, at = FileSystem.from_uri(quote(re.sub("^file:/(?!/)", "file:///", where), safe=":/@"))
-                with store.open_input_stream(at) as stream:
+                # the bytes as they are: Arrow, too, would unpack them by the name
+                with store.open_input_stream(at, compression=None) as stream:
                     digests.append(stream_digest(stream, block_bytes))
             yield batch.assign(sha256=digests)[["file", "bytes", "sha256"]]
 
-    # only names and sizes are read here: one row per large file
-    large = files.filter(F.col("length") > record_bytes).select("path", name, F.col("length").alias("bytes"))
+    files = spark.read.format("binaryFile").load([chained.literal_path(p) for p in sizes])
+    large = files.filter(F.col("length") > PACKED_BYTES).select(
+        "path", F.regexp_extract("path", "[^/]+$", 0).alias("file"), F.col("length").alias("bytes")
+    )
     hashed = large.repartition("path").mapInPandas(read, "file string, bytes long, sha256 string")
-    return small.unionAll(hashed)
+    return _by_record(files.filter(F.col("length") <= PACKED_BYTES)).unionAll(hashed)
 
 
 def check_files(pins: DataFrame, found: DataFrame) -> DataFrame:
