@@ -8,6 +8,7 @@ from datetime import datetime
 
 import pytest
 
+from tidewatch.catalog import registry, scan_queries  # noqa: F401
 from tidewatch.config import IngestConfig
 from tidewatch.errors import DataQualityError
 from tidewatch.plans import ingest
@@ -159,6 +160,31 @@ def test_no_task_reads_more_than_a_part(spark, tmp_path, monkeypatch):
     assert max(read) == 4096 and sum(read) == sum(n for n in sizes.values() if n > 4096)
 
 
+@pytest.mark.parametrize("query", ["s11_file_manifest_verify", "s12_file_manifest_drift"])
+def test_manifest_queries_read_large_tables_in_parts(spark, tmp_path, monkeypatch, query):
+    settings = {key: spark.conf.get(key, None) for key in registry.TABLE_CONF}
+    for name in ("nation", "region"):
+        (tmp_path / f"{name}.parquet").write_bytes(name.encode())
+    with open(tmp_path / "lineitem.parquet", "wb") as stream:
+        stream.truncate(150_000_001)
+    read, one_round = [], chained._round
+
+    def counted(spark, blocks, turn, single):
+        before = {index: chain.at for index, chain in turn.items()}
+        one_round(spark, blocks, turn, single)
+        read.extend(chain.at - before[index] for index, chain in turn.items())
+
+    monkeypatch.setattr(chained, "_round", counted)
+    rows = registry.QUERIES[query](spark, str(tmp_path)).collect()
+    for key, value in settings.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    drift = {"nation.parquet": "drifted", "region.parquet": "new", "lineitem.parquet": "same"}
+    want = drift if query.startswith("s12") else dict.fromkeys(drift, "ok")
+    assert {r["file"]: r["status"] for r in rows} == want
+    assert {(r["file"], r["sha256"]) for r in rows} == {(n, h) for n, _, h in digests_of(tmp_path)}
+    assert max(read) == 1 << 26 and sum(read) % 150_000_001 == 0
+
+
 def test_large_files_are_read_through_spark(spark, tmp_path):
     """A store that only Hadoop knows."""
     for name, size in {"small.bin": 90, "large.bin": 5003}.items():
