@@ -39,6 +39,26 @@ def test_top_k(llm, scale):
     assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == brute_top(rows, 5)
 
 
+def test_top_k_broadcasts_nothing(llm):
+    """Few queries look small to the planner, but they are sent to every block."""
+    df = llm.range(400).selectExpr("id AS vec_id", "array(cast(id AS float), 1.0F) AS embedding")
+    found = topk.top_k(df, F.col("vec_id") % 50 == 0, candidate_block=8)
+    assert found.count() == 8 * 5
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e6])
+def test_parts_of_a_block_give_what_the_block_gives(scale):
+    rnd = np.random.default_rng(4)
+    block = np.floor(rnd.normal(size=(40, 300)) * 256 * scale).astype(np.int64)
+    block[:, 100:140] = block[:, [3]]
+    ids, asked = rnd.permutation(300), block[:, 90:110]
+    whole = [(q, list(i), [int(v) for v in s]) for q, i, s in topk.best_of_block(ids[90:110], asked, ids, block, 5)]
+    parts = [(ids[i : i + 11], block[:, i : i + 11]) for i in range(0, 300, 11)]
+    assert list(topk.best_of_parts(ids[90:110], asked, parts, 5)) == whole
+
+
 def test_top_k_of_little(llm):
     schema = "vec_id long, embedding array<float>"
     assert topk.top_k(llm.createDataFrame([], schema), F.col("vec_id") % 50 == 0).count() == 0
