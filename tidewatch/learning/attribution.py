@@ -59,27 +59,43 @@ def base_value(paths: Sequence[LeafPath]) -> float:
     return float(sum(p.value * np.prod(p.share) for p in paths))
 
 
+def _by_pattern(p: LeafPath, inside: Sequence[np.ndarray]) -> Iterator[np.ndarray]:
+    """Per feature of the path its share, from what lies inside the feature's interval."""
+    k = len(p.features)
+    weights = [factorial(s) * factorial(k - s - 1) / factorial(k) for s in range(k)]
+    for i in range(k):
+        # sizes[s]: sum over subsets of s other features being known
+        sizes = [np.ones(len(inside[0]))] + [np.zeros(len(inside[0])) for _ in range(k - 1)]
+        for j in range(k):
+            if j == i:
+                continue
+            for s in range(k - 1, 0, -1):
+                sizes[s] = sizes[s] * p.share[j] + sizes[s - 1] * inside[j]
+            sizes[0] = sizes[0] * p.share[j]
+        mix = sum(w * s for w, s in zip(weights, sizes, strict=True))
+        yield p.value * (inside[i] - p.share[i]) * mix
+
+
 def attributions(paths: Sequence[LeafPath], x: np.ndarray) -> np.ndarray:
-    """Attribution per row and feature on the margin scale."""
-    out = np.zeros(x.shape)
+    """Attribution per row and feature on the margin scale. Rows that lie inside the same
+    intervals of a path have the same shares, which are found once."""
+    columns, out = np.ascontiguousarray(x.T), np.zeros(x.T.shape)
     for p in paths:
         k = len(p.features)
         if k == 0:
             continue
-        inside = [(x[:, f] > p.low[i]) & (x[:, f] <= p.high[i]) for i, f in enumerate(p.features)]
-        weights = [factorial(s) * factorial(k - s - 1) / factorial(k) for s in range(k)]
-        for i, f in enumerate(p.features):
-            # sizes[s]: sum over subsets of s other features being known
-            sizes = [np.ones(len(x))] + [np.zeros(len(x)) for _ in range(k - 1)]
-            for j in range(k):
-                if j == i:
-                    continue
-                for s in range(k - 1, 0, -1):
-                    sizes[s] = sizes[s] * p.share[j] + sizes[s - 1] * inside[j]
-                sizes[0] = sizes[0] * p.share[j]
-            mix = sum(w * s for w, s in zip(weights, sizes, strict=True))
-            out[:, f] += p.value * (inside[i] - p.share[i]) * mix
-    return out
+        inside = [(columns[f] > p.low[i]) & (columns[f] <= p.high[i]) for i, f in enumerate(p.features)]
+        if 1 << k >= len(x):
+            for f, part in zip(p.features, _by_pattern(p, inside), strict=True):
+                out[f] += part
+            continue
+        pattern = np.zeros(len(x), dtype=np.intp)
+        for i, mine in enumerate(inside):
+            pattern |= mine.astype(np.intp) << i
+        every = [(np.arange(1 << k) >> i & 1).astype(bool) for i in range(k)]
+        for f, part in zip(p.features, _by_pattern(p, every), strict=True):
+            out[f] += part.take(pattern)
+    return out.T
 
 
 def mean_attribution(model: BoostedModel, rows: DataFrame, names: Sequence[str]) -> DataFrame:
